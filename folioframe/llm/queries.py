@@ -23,6 +23,24 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), capacity=4096, end_id=2)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import digest, mark
+
+    return digest(mark(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13, k=8), share=20)
+
+
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .exact_dedup import exact_groups
+
+    return exact_groups(_read(spark, sf_dir, "documents"))
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_groups
+
+    return near_groups(_read(spark, sf_dir, "documents"), words=3, radius=2)
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import store_tokens
 
@@ -36,8 +54,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op9_token_store, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_exact_dedup, op5_simhash, op9_token_store, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from .exact_dedup import ORACLE
+
+    return {"op3_exact_dedup": ORACLE}
