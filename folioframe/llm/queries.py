@@ -35,12 +35,38 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_read(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm_score import fit, score
+
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return score(docs, fit(docs, labels))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_groups
 
     return near_groups(_read(spark, sf_dir, "documents"), words=3, radius=2)
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_extract import extract
+
+    return extract(_read(spark, sf_dir, "pages"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import fit, score
+
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    return score(docs, fit(docs, labels), threshold=0.3)
+
+
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import repeats
+
+    return repeats(_read(spark, sf_dir, "documents"), length=400).drop("spans")
+
+
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_store import store_tokens
 
@@ -54,7 +80,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_exact_dedup, op5_simhash, op9_token_store, op10_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op2_decontamination, op3_exact_dedup, op4_lm_score, op5_simhash, op6_html_extraction, op7_quality, op8_repeats, op9_token_store, op10_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:

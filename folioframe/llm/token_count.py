@@ -34,15 +34,13 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     table = spark.sparkContext.broadcast((spec, keys, lengths))
 
     def counted(batches):
-        import numpy as np
-
         spec, keys, lengths = table.value
         enc = T.encoder(spec, key)
-        known = dict(zip(keys, np.frombuffer(lengths, "<u2").tolist(), strict=True))
+        enc.know(keys, lengths)
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for at, part in T.in_parts(texts):
-                n = enc.count(part, known)
+                n = enc.count(part)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(at, len(part)),

@@ -12,20 +12,39 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterable
 
 import numpy as np
 
-#: At most so many chunks stay in a worker's cache; when it is full, it starts anew.
-CACHE_ENTRIES = 300_000
-#: Chunks longer than this are encoded each time.
+#: About so many chunks stay in a worker's cache (some 200 bytes each); when it is full, the latest third goes.
+CACHE_ENTRIES = 400_000
+#: Chunks longer than this are not kept.
 LONG_CHUNK = 64
 
 _COMPOSING = re.compile("[\u0300-\U0010ffff]")
 _ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _GPT_CHUNKS = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+").findall
 
+# Chunks of printable ASCII and Latin-1 letters, and their pre-tokens by the tokenizers' own patterns; for these characters
+# letter, digit and white space are what the patterns say, and normalisation is str.lower().
+_PLAIN = re.compile(r"[\n\t\r -~À-ÖØ-öø-ÿ]*")
+_PRE_TOKENS = {
+    "words": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall,
+    "spaced": re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^\sA-Za-z0-9À-ÖØ-öø-ÿ]+|\s+(?!\S)|\s+").findall,
+}
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE's letter for each byte: visible Latin-1 characters stand for themselves, the others for 256 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: 256 + i for i, b in enumerate(hidden)}
+
+
+_LETTERS = _byte_letters()
+
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
@@ -66,8 +85,10 @@ class ChunkEncoder:
         self.library.no_truncation()
         self.kind = _kind(parsed)
         self.special = [x["content"] for x in parsed.get("added_tokens", [])]
+        self.model = self.library.model
         self.ids: dict = {}
         self.counts: dict = {}
+        self.pieces: dict = {}
 
     def chunks(self, text: str) -> list | None:
         """None: the text has to go through the library whole."""
@@ -79,56 +100,56 @@ class ChunkEncoder:
             return (raw if _COMPOSING.search(text) else raw.lower()).split()
         return None if _ODD_SPACE.search(text) else _GPT_CHUNKS(text)
 
-    def _library(self, chunks: list) -> list:
-        texts = [x.decode() if isinstance(x, bytes) else x for x in chunks]
-        return self.library.encode_batch_fast(texts, add_special_tokens=False)
-
-    def _fill(self, cache: dict, missing: set, made) -> dict:
-        """Encode what is missing; returns what the cache does not keep."""
-        listed = sorted(missing)
-        aside = {}
-        if len(cache) + len(listed) > CACHE_ENTRIES:
-            cache.clear()
-        for at in range(0, len(listed), 8192):
-            part = listed[at : at + 8192]
-            for chunk, enc in zip(part, self._library(part), strict=True):
-                keep = len(chunk) <= LONG_CHUNK and len(cache) < CACHE_ENTRIES
-                (cache if keep else aside)[chunk] = made(enc)
-        return aside
-
-    def _each(self, texts: list, cache: dict, made, joined, known: dict | None = None) -> list:
+    def _missing(self, chunks: list):
+        """(chunk, ids) of chunks that no cache has; the library's model alone encodes plain ones' pre-tokens."""
+        rest = []
+        for chunk in chunks:
+            text = chunk.decode() if isinstance(chunk, bytes) else chunk
+            if _PLAIN.fullmatch(text):
+                found = _PRE_TOKENS[self.kind](text.lower() if self.kind == "words" else text)
+                yield chunk, [i for p in found for i in self._piece(p)]
+            else:
+                rest.append((chunk, text))
+        for at in range(0, len(rest), 8192):
+            part = rest[at : at + 8192]
+            for (chunk, _), enc in zip(part, self.library.encode_batch_fast([x for _, x in part], add_special_tokens=False), strict=True):
+                yield chunk, enc.ids
+
+    def _piece(self, piece: str) -> array:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))])
+            if len(piece) <= LONG_CHUNK:
+                _trim(self.pieces)
+                self.pieces[piece] = ids
+        return ids
+
+    def _each(self, texts: list, cache: dict, made, joined) -> list:
         split = [self.chunks(x) for x in texts]
-        missing = {c for x in split if x is not None for c in x}
-        missing.difference_update(cache)
-        found = cache
-        if known:
-            missing.difference_update(known)
-        aside = self._fill(cache, missing, made) if missing else {}
-        out = []
-        for text, x in zip(texts, split, strict=True):
-            if x is None:
-                out.append(made(self.library.encode(text, add_special_tokens=False)))
-                continue
-            try:
-                out.append(joined(map(found.__getitem__, x)))
-            except KeyError:
-                out.append(joined([self._one(c, cache, aside, known, made) for c in x]))
+        _trim(cache)
+        met: set = set()
+        for x in split:
+            if x is not None:
+                met.update(x)
+        missing = [c for c in met if c not in cache]
+        for chunk, ids in self._missing(missing):
+            cache[chunk] = made(ids)
+        out = [joined(map(cache.__getitem__, x)) if x is not None else made(self.library.encode(text, add_special_tokens=False).ids) for text, x in zip(texts, split, strict=True)]
+        for chunk in missing:
+            if len(chunk) > LONG_CHUNK:
+                del cache[chunk]
         return out
 
-    def _one(self, chunk, cache, aside, known, made):
-        for place in (cache, aside, known or {}):
-            if chunk in place:
-                return place[chunk]
-        aside[chunk] = made(self._library([chunk])[0])  # the cache started anew meanwhile
-        return aside[chunk]
-
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        made = lambda e: np.asarray(e.ids, dtype="<u4").tobytes()
-        return self._each([x or "" for x in texts], self.ids, made, b"".join)
+        return self._each([x or "" for x in texts], self.ids, lambda ids: array("I", ids).tobytes(), b"".join)
+
+    def know(self, keys: list, lengths: bytes) -> None:
+        """Put frequent chunks' lengths first in the worker's cache, so that they stay in it."""
+        if not self.counts:
+            self.counts.update(zip(keys, np.frombuffer(lengths, "<u2").tolist(), strict=True))
 
-    def count(self, texts: Iterable[str | None], known: dict | None = None) -> list[int]:
-        """known: lengths of frequent chunks, looked up before the worker's own cache."""
-        return self._each([x or "" for x in texts], self.counts, lambda e: len(e.ids), sum, known)
+    def count(self, texts: Iterable[str | None]) -> list[int]:
+        return self._each([x or "" for x in texts], self.counts, len, sum)
 
     def frequent(self, texts: Iterable[str | None], most: int) -> tuple[list, bytes]:
         """The most frequent chunks of texts, and each one's token count in two bytes."""
@@ -136,7 +157,15 @@ class ChunkEncoder:
         for text in texts:
             seen.update(c for c in self.chunks(text or "") or () if len(c) <= LONG_CHUNK)
         keys = sorted(sorted(seen), key=lambda c: -seen[c])[:most]
-        return keys, np.array([len(e.ids) for e in self._library(keys)] if keys else [], dtype="<u2").tobytes()
+        lengths = {c: len(ids) for c, ids in self._missing(keys)}
+        return keys, np.array([lengths[c] for c in keys], dtype="<u2").tobytes()
+
+
+def _trim(cache: dict) -> None:
+    """The oldest entries, which tend to be the most frequent, stay."""
+    if len(cache) > CACHE_ENTRIES:
+        for _ in range(len(cache) - CACHE_ENTRIES * 2 // 3):
+            cache.popitem()
 
 
 def encoder(spec: str, key: str | None = None) -> ChunkEncoder:
