@@ -38,7 +38,7 @@ def scan_texts(targets: DataFrame, pages: DataFrame, each_end: int = 8) -> DataF
     near = pages.where((F.col("page") < each_end) | (F.col("page") >= F.col("n_pages") - each_end))
     joined = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: F.coalesce(x["text"], F.lit(""))))
     text = near.groupBy("path").agg(joined.alias("text"), F.max("error").alias("error"))
-    line = F.substring(F.element_at(F.split(F.rtrim(F.col("error")), "\n"), -1), 1, 240)
+    line = F.substring(F.element_at(F.split(F.regexp_replace("error", r"\s+$", ""), "\n"), -1), 1, 240)
     none = F.array().cast("array<string>")
     return targets.join(text, "path", "left").select("id", "title", "authors", "path", F.when(F.col("error").isNull() & F.col("text").isNotNull(), isbn.extract(F.col("text"))).otherwise(none).alias("isbns"), F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("text_chars"), F.when(F.col("error").isNotNull(), line).when(F.col("text").isNull(), F.lit("no text")).alias("error"))
 

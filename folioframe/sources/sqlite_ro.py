@@ -1,7 +1,8 @@
 """A read-only batch source for SQLite files: spark.read.format("sqlite_ro").option("path", ...).option("table", ...).
 
 The file is opened with mode=ro, so nothing can be written through it; every executor has to reach the path. Tables with
-an integer id are read in ranges of it, and equality and range filters go into the query.
+an integer id are read in ranges of it. Filters stay with Spark: a reader that takes them keeps them for every later use of
+the same DataFrame, and a catalogue's tables are used many times.
 """
 
 from __future__ import annotations
@@ -10,13 +11,11 @@ import os
 import sqlite3
 
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import LongType, StructType
 
 from .catalog_tables import SCHEMAS, Catalog, MissingCatalog
 
-_TESTS = {EqualTo: "=", GreaterThan: ">", GreaterThanOrEqual: ">=", LessThan: "<", LessThanOrEqual: "<="}
-
 
 def _quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
@@ -52,14 +51,6 @@ class _Reader(DataSourceReader):
     def __init__(self, options: dict, schema: StructType):
         self.path, self.table = options["path"], options["table"]
         self.parts, self.schema = int(options.get("partitions", "1")), schema
-        self.where: list[tuple[str, str, object]] = []
-
-    def pushFilters(self, filters: list[Filter]):
-        for f in filters:
-            sign = _TESTS.get(type(f))
-            if sign and len(f.attribute) == 1 and isinstance(f.value, int) and not isinstance(f.value, bool):
-                self.where.append((f.attribute[0], sign, f.value))
-            yield f  # Spark checks them again
 
     def partitions(self):
         if self.parts > 1 and "id" in self.schema.fieldNames() and self.schema["id"].dataType == LongType():
@@ -71,7 +62,7 @@ class _Reader(DataSourceReader):
         return [_Range(None, None)]
 
     def read(self, part: _Range):
-        where = list(self.where) + ([("id", ">=", part.low), ("id", "<", part.high)] if part.low is not None else [])
+        where = [("id", ">=", part.low), ("id", "<", part.high)] if part.low is not None else []
         text = f"SELECT {', '.join(_quoted(f.name) for f in self.schema.fields)} FROM {_quoted(self.table)}"
         if where:
             text += " WHERE " + " AND ".join(f"{_quoted(c)} {sign} ?" for c, sign, _ in where)
