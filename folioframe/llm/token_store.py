@@ -154,7 +154,13 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str =
         def closed():
             writer.close()
             writer.out.close()
-            fs.move(temp, f"{root}/{part:06d}-{seq:06d}{SUFFIX}")
+            final = f"{root}/{part:06d}-{seq:06d}{SUFFIX}"
+            try:
+                fs.move(temp, final)
+            except OSError:  # where a move can't replace: an earlier attempt's file is the same
+                if fs.get_file_info(final).type != pafs.FileType.File:
+                    raise
+                fs.delete_file(temp)
             made.append((part, seq, len(writer.docs), writer.total))
 
         for batch in batches:
