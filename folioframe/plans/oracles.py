@@ -50,7 +50,7 @@ def surname(c: str) -> str:
 
 EDGES_CTE = """
 said AS (SELECT l.book, trim(p) AS p FROM books_custom_column_2_link l JOIN custom_column_2 v ON v.id = l.value, unnest(string_split(replace(v.value, ';', ','), ',')) AS u(p)),
-edges AS (SELECT DISTINCT least(book, o) AS a, greatest(book, o) AS b FROM (SELECT book, cast(p as bigint) AS o FROM said WHERE regexp_matches(p, '^[0-9]+$')) WHERE o <> book)"""
+edges AS (SELECT DISTINCT least(book, o) AS a, greatest(book, o) AS b FROM (SELECT book, try_cast(p as bigint) AS o FROM said WHERE regexp_matches(p, '^[0-9]+$')) WHERE o <> book)"""
 EDGE_TABLES = ("custom_column_2", "books_custom_column_2_link")
 FLAGS_CTE = f""",
 {ISBN_CTE},
