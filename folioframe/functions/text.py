@@ -49,8 +49,20 @@ def _tiers() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), {c: f for c, f in folded.items() if len(f) > 1 and f.isascii()}
 
 
+def _ranges(letters: str) -> str:
+    """A character class's inside: runs of code points as ranges, which a regular expression tests far faster than single letters."""
+    codes, out = sorted(map(ord, letters)), []
+    for c in codes:
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
 _FROM, _TO, _LONGER = _tiers()
-_NATIVE = f"[\\x00-\\x7F{_FROM}{''.join(_LONGER)}{CJK}]*"
+_SHORT = "ßæœþÆŒÞ"
+_OTHER = f"[^\\x00-\\x7F{_ranges(_FROM + _SHORT)}{CJK}]"
 
 
 def _fold_rest(c: Column) -> Column:
@@ -65,12 +77,11 @@ def fold(c: Column, *, native: bool = False) -> Column:
     c = F.coalesce(c, F.lit(""))
     out = F.translate(c, _FROM, _TO)
     for letter, into in _LONGER.items():
-        if letter in "ßæœþÆŒÞ":
+        if letter in _SHORT:
             out = F.replace(out, F.lit(letter), F.lit(into))
     if native:
         return out
-    longer = "".join(x for x in _LONGER if x not in "ßæœþÆŒÞ")
-    simple = c.rlike(f"(?s)^{_NATIVE}$") & ~c.rlike(f"[{longer}]") if longer else c.rlike(f"(?s)^{_NATIVE}$")
+    simple = ~c.rlike(_OTHER)
     return F.coalesce(F.when(simple, out), _fold_rest(F.when(~simple, c)), F.lit(""))
 
 
