@@ -45,6 +45,68 @@ def _byte_letters() -> dict[int, int]:
 
 _LETTERS = _byte_letters()
 
+# Byte classes of plain text in lower case: white space, letters (bytes from 0x80 on are parts of Latin-1 letters there),
+# digits, and the rest.
+_CLASS = np.full(256, 3, np.uint8)
+_CLASS[list(b" \t\n\r")] = 0
+_CLASS[[*range(0x61, 0x7B), *range(0x80, 0x100)]] = 1
+_CLASS[[*range(0x30, 0x3A)]] = 2
+_RANDOM = np.random.default_rng(7).integers(1, 2**63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93], np.uint64)
+
+
+class WordTable:
+    """Ids of pre-tokens by two 64-bit hashes of their bytes, in sorted arrays; looked up a batch at a time."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.first, self.second = np.empty(0, np.uint64), np.empty(0, np.uint64)
+        self.begin, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+        self.ids, self.filled = np.empty(1 << 16, np.uint32), 0
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Places of known pre-tokens, -1 for others."""
+        if not len(self.first):
+            return np.full(len(first), -1)
+        at = np.minimum(np.searchsorted(self.first, first), len(self.first) - 1)
+        return np.where((self.first[at] == first) & (self.second[at] == second), at, -1)
+
+    def add(self, first: np.ndarray, second: np.ndarray, ids: list) -> None:
+        size = np.array([len(x) for x in ids], np.int64)
+        total = int(size.sum())
+        while self.filled + total > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty(len(self.ids), np.uint32)])
+        self.ids[self.filled : self.filled + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        begin = np.cumsum(size) - size + self.filled
+        self.filled += total
+        order = np.argsort(np.concatenate([self.first, first]), kind="stable")
+        for name, new in (("first", first), ("second", second), ("begin", begin), ("size", size)):
+            setattr(self, name, np.concatenate([getattr(self, name), new])[order])
+
+
+def _segments(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where the pre-tokens of plain text without apostrophes begin, how long they are, and both hashes."""
+    a = np.frombuffer(raw, np.uint8)
+    kind = _CLASS[a]
+    change = np.empty(len(a), bool)
+    change[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=change[1:])
+    change |= kind == 2
+    at = np.flatnonzero(change)
+    size = np.diff(at, append=len(a))
+    place = np.arange(len(a)) - np.repeat(at, size)
+    word = kind[at] != 0
+    hashes = []
+    for random, base in zip(_RANDOM, _BASE, strict=True):
+        power = np.cumprod(np.full(int(size.max()), base))
+        h = np.add.reduceat(random[a] * power[place], at)[word]
+        h = (h ^ (h >> np.uint64(31))) * base
+        hashes.append(h ^ (h >> np.uint64(29)))
+    return at[word], size[word], *hashes
+
+
 _encoders: dict[tuple, ChunkEncoder] = {}
 
 
@@ -89,6 +151,7 @@ class ChunkEncoder:
         self.ids: dict = {}
         self.counts: dict = {}
         self.pieces: dict = {}
+        self.table = WordTable()
 
     def chunks(self, text: str) -> list | None:
         """None: the text has to go through the library whole."""
@@ -118,7 +181,8 @@ class ChunkEncoder:
     def _piece(self, piece: str) -> array:
         ids = self.pieces.get(piece)
         if ids is None:
-            ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_LETTERS))])
+            text = piece.encode().decode("latin-1").translate(_LETTERS)
+            ids = array("I", [t.id for t in self.model.tokenize(text)])
             if len(piece) <= LONG_CHUNK:
                 _trim(self.pieces)
                 self.pieces[piece] = ids
@@ -141,7 +205,51 @@ class ChunkEncoder:
         return out
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
-        return self._each([x or "" for x in texts], self.ids, lambda ids: array("I", ids).tobytes(), b"".join)
+        texts = [x or "" for x in texts]
+        made = lambda ids: array("I", ids).tobytes()
+        simple = [self.kind == "words" and "'" not in x and _PLAIN.fullmatch(x) is not None and not any(t in x for t in self.special) for x in texts]
+        out: list[bytes] = [b""] * len(texts)
+        rest = [i for i, x in enumerate(simple) if not x]
+        for i, ids in zip(rest, self._each([texts[i] for i in rest], self.ids, made, b"".join), strict=True):
+            out[i] = ids
+        easy = [i for i, x in enumerate(simple) if x]
+        for at, part in in_parts([texts[i] for i in easy], 4 << 20):
+            for i, ids in zip(easy[at : at + len(part)], self._words(part), strict=True):
+                out[i] = ids
+        return out
+
+    def _words(self, texts: list[str]) -> list[bytes]:
+        """Ids of plain texts by arrays: hash all pre-tokens, encode those not met before, gather."""
+        raws = [x.encode().lower() for x in texts]
+        raw = b" ".join(raws)
+        if not raw:
+            return [b""] * len(texts)
+        edges = np.cumsum([0] + [len(x) + 1 for x in raws])
+        start, size, first, second = _segments(raw)
+        values, where, back = np.unique(first, return_index=True, return_inverse=True)
+        if not (second == second[where][back]).all():  # two pre-tokens share a hash
+            return self._each(texts, self.ids, lambda ids: array("I", ids).tobytes(), b"".join)
+        if len(self.table.first) > 4 * CACHE_ENTRIES:
+            self.table.clear()
+        other = second[where]
+        at = self.table.find(values, other)
+        if (new := np.flatnonzero(at < 0)).size:
+            ids = [self._ids(raw[a : a + n].decode().lower()) for a, n in zip(start[where[new]].tolist(), size[where[new]].tolist(), strict=True)]
+            self.table.add(values[new], other[new], ids)
+            at = self.table.find(values, other)
+            if (at < 0).any():  # a hash that the table has for another pre-token
+                self.table.clear()
+                return self._each(texts, self.ids, lambda ids: array("I", ids).tobytes(), b"".join)
+        at = at[back]
+        n = self.table.size[at]
+        ends = np.cumsum(n)
+        flat = self.table.ids[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.table.begin[at] - ends + n, n)]
+        cuts = np.concatenate([[0], ends])[np.searchsorted(start, edges)].tolist()
+        return [flat[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+
+    def _ids(self, piece: str) -> list[int]:
+        text = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_LETTERS)
+        return [t.id for t in self.model.tokenize(text)]
 
     def know(self, keys: list, lengths: bytes) -> None:
         """Put frequent chunks' lengths first in the worker's cache, so that they stay in it."""

@@ -57,6 +57,30 @@ def test_chunk_caches_equal_the_library(table, name):
     assert known.count(texts) == [len(x) for x in expect]
 
 
+def test_word_table(table):
+    path = str(P.path("word_bpe_49k.json"))
+    library, enc = Tokenizer.from_file(path), tokenizing.ChunkEncoder(tokenizing.read_tokenizer(path))
+    texts = ["", "A1b22 ..c,D", "É é ÉÉ×÷ü", "tab\tnew\nline\r x", "", *(t for t in table.text.tolist()), "z" * 300]
+    expect = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for _ in range(2):
+        assert [np.frombuffer(b, "<u4").tolist() for b in enc.encode(texts)] == expect
+    assert len(enc.table.first) > 1000
+
+
+def test_word_table_with_colliding_hashes(monkeypatch, table):
+    real = tokenizing._segments
+
+    def weak(raw):
+        start, size, first, second = real(raw)
+        return start, size, first % np.uint64(50), second
+
+    path = str(P.path("word_bpe_49k.json"))
+    library, enc = Tokenizer.from_file(path), tokenizing.ChunkEncoder(tokenizing.read_tokenizer(path))
+    monkeypatch.setattr(tokenizing, "_segments", weak)
+    for t in ["one", "two three", *table.text.tolist()[:20]]:
+        assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_cache_starts_anew(monkeypatch):
     monkeypatch.setattr(tokenizing, "CACHE_ENTRIES", 7)
     path = str(P.path("word_bpe_49k.json"))
