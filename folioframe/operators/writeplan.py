@@ -89,10 +89,9 @@ def plan_metadata(proposals: DataFrame, identifiers: DataFrame) -> DataFrame:
         (F.array_contains(keys, "authors"), "authors-never"),
         (F.array_contains(keys, "title") & ~F.col("force"), "title-needs-force"),
     ]
-    value = F.element_at(F.filter(F.map_entries("fields"), lambda e: F.lower(e["key"]) == "identifiers"), 1)["value"]
+    given = F.transform(F.filter(F.map_entries("fields"), lambda e: F.lower(e["key"]) == "identifiers"), lambda e: e["value"])
     current = F.coalesce("identifiers", F.create_map().cast("map<string,string>"))
-    merged = F.when(F.array_contains(keys, "identifiers"), merge_identifiers(current, F.try_element_at(F.transform(F.filter(F.map_entries("fields"), lambda e: F.lower(e["key"]) == "identifiers"), lambda e: e["value"]), F.lit(1))))
-    del value
+    merged = F.when(F.size(given) > 0, merge_identifiers(current, F.try_element_at(given, F.lit(1))))
     return _told(df, gates, merged.alias("identifiers"))
 
 

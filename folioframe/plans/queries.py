@@ -313,9 +313,7 @@ def ident_remove(spark, sf):
 
 @query
 def writeplan_gate(spark, sf):
-    b = _books(spark, sf)
     staged, found = _staged(spark, sf)
-    del b
     k = F.col("proposal_id")
     proposals = staged.select(
         "proposal_id", F.when(k % 80 == 0, F.lit("/in/none")).otherwise(F.lit("/in/a.pdf")).alias("path"), (k % 140 != 0).alias("file_exists"), F.when(k % 180 == 0, F.lit("A &amp; B")).otherwise(F.col("title")).alias("title"),
