@@ -31,9 +31,12 @@ def _key(x: Column, salt: int) -> list[Column]:
     return [F.xxhash64(F.lit(2 * salt), x).alias("h1"), F.xxhash64(F.lit(2 * salt + 1), x).alias("h2")]
 
 
-def _sorted_names(distinct: DataFrame, *by: str) -> DataFrame:
-    """A unique integer for each row, rising in the order of `by`; fixed by being written."""
-    return _scratch.materialise(distinct.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()), "names")
+def _sorted_names(distinct: DataFrame, by: list[str], deal: list[Column]) -> DataFrame:
+    """A unique integer for each row, rising in the order of `by` within ranges of `deal`; fixed by being written.
+
+    The ranges come from a sample that the driver sees, so `deal` has to be a few bytes a row.
+    """
+    return _scratch.materialise(distinct.repartitionByRange(*deal).sortWithinPartitions(*by).withColumn("name", F.monotonically_increasing_id()), "names")
 
 
 def _named(sequences: DataFrame, keys: list[str], names: DataFrame) -> DataFrame:
@@ -61,7 +64,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         if not counted.groupBy("h1", "h2").count().where("count > 1").head(1):
             break
         salt += 1
-    names = _sorted_names(counted.where("again").select("h1", "h2", "block"), "block").drop("block")
+    names = _sorted_names(counted.where("again").select("h1", "h2", "block"), ["block"], [F.substring("block", 1, 8), F.col("h1")]).drop("block")
     keyed = F.transform(_blocks("raw", block), lambda x: F.struct(*_key(x, salt)))
     rows = source.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.sha2("raw", 256).alias("text_sha256"), keyed.alias("blocks"))
     rows = _scratch.materialise(rows, "documents")
@@ -77,7 +80,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         pairs = F.expr("transform(sequence(0, (size(names) - 1) div 2), i -> struct(names[cast(2 * i as int)] as l, coalesce(get(names, cast(2 * i + 1 as int)), -1L) as r))")
         parts = level.select("rid", "doc_id", "k", pairs.alias("pairs")).select("rid", "doc_id", "k", F.size("pairs").alias("parts"), F.posexplode("pairs").alias("pos", "p")).select("rid", "doc_id", "k", "parts", "pos", "p.l", "p.r")
         again = parts.groupBy("l", "r").agg(F.count("*").alias("n")).where("n > 1").select("l", "r")
-        level = _scratch.materialise(_named(parts, ["l", "r"], _sorted_names(again, "l", "r")), "level")
+        level = _scratch.materialise(_named(parts, ["l", "r"], _sorted_names(again, ["l", "r"], [F.col("l"), F.col("r")])), "level")
     identity = done[0]
     for x in done[1:]:
         identity = identity.unionByName(x)
