@@ -20,6 +20,8 @@ import numpy as np
 
 #: About so many chunks stay in a worker's cache (some 200 bytes each); when it is full, the latest third goes.
 CACHE_ENTRIES = 400_000
+#: Characters of plain text that are hashed at a time (some 60 bytes of arrays each).
+PART = 1 << 20
 #: Chunks longer than this are not kept.
 LONG_CHUNK = 64
 
@@ -213,7 +215,7 @@ class ChunkEncoder:
         for i, ids in zip(rest, self._each([texts[i] for i in rest], self.ids, made, b"".join), strict=True):
             out[i] = ids
         easy = [i for i, x in enumerate(simple) if x]
-        for at, part in in_parts([texts[i] for i in easy], 4 << 20):
+        for at, part in in_parts([texts[i] for i in easy], PART):
             for i, ids in zip(easy[at : at + len(part)], self._words(part), strict=True):
                 out[i] = ids
         return out
