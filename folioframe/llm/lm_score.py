@@ -1,27 +1,31 @@
 """Cross-entropy difference: how much better a target model predicts a document than a background model does.
 
-Both are bigram models over one vocabulary: the VOCABULARY words that are most frequent in the corpus, an unknown word and
-a boundary. The background model counts every document, the target model the documents of a bounded sample of labelled
-rows. They are matched: same vocabulary, same smoothing, and background counts scaled to the target's number of tokens,
-so that neither is smoothed less for being larger. A bigram's count is kept in one of 2^SLOT_BITS slots by its hash, which
-bounds the models (they are broadcast) whatever the corpus; a slot that is shared can't count more than either of its words.
+Both are bigram models over all words of the corpus, known by 64-bit hashes, and a boundary. The background model counts
+every document, the target model every labelled document that meets the condition. They are matched: same vocabulary, same
+smoothing, and background counts scaled to the target's number of tokens, so that neither is smoothed less for being larger.
 
-Words are counted in two passes, each summed in the task before the shuffle; scoring is a map.
+The models are tables that grow with the corpus: exact counts of (before, after), summed in the task before the shuffle,
+and of single words, which are sums of those. Both are joined to the documents' own pairs, each once in a text;
+only ids of labelled target documents and a few totals are sent to every task.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import _scratch
 from . import tokenizing as T
-from .decontaminate import _mix, word_hashes
+from .decontaminate import word_hashes
 
-VOCABULARY = 32_768
-SLOT_BITS = 20
-#: A task hands its sums on when it holds so many words.
+#: The boundary before and after a text; a word with this hash would be counted as the next one.
+EDGE = -(1 << 63)
+#: A task hands its sums on when it holds so many pairs.
 HELD = 1 << 20
 
 
@@ -33,128 +37,137 @@ def _words(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(edges, starts, "right") - 1
 
 
-def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(word, n) over all documents; a word is its 64-bit hash."""
-
-    def counted(batches):
-        def out(h, n):
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], names=["word", "n"])
-
-        have, times = np.empty(0, np.uint64), np.empty(0, np.int64)
-        for batch in batches:
-            for _, part in T.in_parts(batch.column(0).to_pylist(), 4 << 20):
-                h, n = np.unique(_words(part)[0], return_counts=True)
-                have, back = np.unique(np.concatenate([have, h]), return_inverse=True)
-                times = np.bincount(back, np.concatenate([times, n]), len(have)).astype(np.int64)
-                if len(have) > HELD:
-                    yield out(have, times)
-                    have, times = np.empty(0, np.uint64), np.empty(0, np.int64)
-        yield out(have, times)
-
-    return docs.select(F.col(text_col).cast("string")).mapInArrow(counted, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _transitions(texts: list, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(from, to, text) of every step: boundary, each word, boundary; texts without words have none. Ids: 0 unknown, then the vocabulary, then the boundary."""
+def _transitions(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(before, after, text) of every step: boundary, each word, boundary; texts without words have none."""
     hashes, of = _words(texts)
     if not len(hashes):
         return (np.empty(0, np.int64),) * 3
-    if len(vocabulary):
-        at = np.minimum(np.searchsorted(vocabulary, hashes), len(vocabulary) - 1)
-        ids = np.where(vocabulary[at] == hashes, at + 1, 0)
-    else:
-        ids = np.zeros(len(hashes), np.int64)
-    edge = len(vocabulary) + 1
+    ids = hashes.view(np.int64)
+    ids = np.where(ids == EDGE, EDGE + 1, ids)
     starts = np.flatnonzero(np.diff(of, prepend=-1))
-    to = np.insert(ids, starts[1:], edge)  # the end of the text before
-    text = np.insert(of, starts[1:], of[starts[1:] - 1])
-    to, text = np.append(to, edge), np.append(text, of[-1])
-    before = np.concatenate([[edge], to[:-1]])
-    return before, to, text
+    after = np.append(np.insert(ids, starts[1:], EDGE), EDGE)  # the end of the text before
+    text = np.append(np.insert(of, starts[1:], of[starts[1:] - 1]), of[-1])
+    return np.concatenate([[EDGE], after[:-1]]), after, text
 
 
-def _slot(before: np.ndarray, to: np.ndarray) -> np.ndarray:
-    return (_mix((before.astype(np.uint64) << np.uint64(32)) + to.astype(np.uint64) + np.uint64(1)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The distinct rows of keys, in order, and the sums over their rows."""
+    if not len(keys[0]):
+        return keys, sums
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    first = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in keys], axis=0)))
+    return [k[first] for k in keys], [np.add.reduceat(x[order], first) for x in sums]
 
 
-class Models:
-    """What scoring needs of both models, in arrays of fixed size."""
-
-    def __init__(self, vocabulary: np.ndarray, counts: dict[str, np.ndarray], mass: float):
-        self.vocabulary, self.mass = vocabulary, mass
-        width = len(vocabulary) + 2
-        self.single, self.pairs = [], []
-        total = max(1.0, float(counts["target"][:width].sum()))
-        for name in ("target", "background"):
-            c = counts[name].astype(np.float64)
-            c *= total / max(1.0, float(c[:width].sum()))
-            self.single.append(c[:width])
-            self.pairs.append(c[width:].astype(np.float32))
-        self.total, self.width = total, width
-
-    def losses(self, texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(words, target bits a token, background bits a token) of each text; the end counts as a token, and 0 stands for no words."""
-        before, to, text = _transitions(texts, self.vocabulary)
-        n = np.bincount(text, minlength=len(texts))
-        slot = _slot(before, to)
-        out = []
-        for single, pairs in zip(self.single, self.pairs, strict=True):
-            alone = (single[to] + 1.0) / (self.total + self.width)
-            seen = np.minimum(np.minimum(pairs[slot], single[before]), single[to])
-            bits = -np.log2((seen + self.mass * alone) / (single[before] + self.mass))
-            sums = np.bincount(text, bits, len(texts)) if len(text) else np.zeros(len(texts))
-            out.append(np.round(sums / np.maximum(n, 1), 9))
-        return np.maximum(n - 1, 0), out[0], out[1]
-
-
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: str = "quality = 1 and toxic = 0", target_rows: int = 20_000, vocabulary_size: int = VOCABULARY, mass: float = 50.0) -> Models:
-    """Counts over all documents; target documents are those of at most target_rows labelled rows that meet `target`."""
-    spark = docs.sparkSession
-    top = word_counts(docs, text_col).orderBy(F.desc("n"), "word").limit(vocabulary_size).collect()
-    vocabulary = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
-    chosen = labels.where(target).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct().orderBy(F.xxhash64("id"), "id").limit(target_rows).collect()
-    shared = spark.sparkContext.broadcast((vocabulary, np.sort(np.array([r.id for r in chosen], np.int64))))
+def _batch(columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns.values()], names=list(columns))
+
+
+def pair_counts(docs: DataFrame, target: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(before, after, background, target): exact counts over all documents, and over those whose id is in target (column id)."""
+    marked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    marked = marked.join(F.broadcast(target.withColumn("y", F.lit(1))), "id", "left").select("text", F.coalesce("y", F.lit(0)).cast("long").alias("y"))
 
     def counted(batches):
-        vocabulary, wanted = shared.value
-        size = len(vocabulary) + 2 + (1 << SLOT_BITS)
-        both = np.zeros((2, size), np.int64)
+        names = ["before", "after", "background", "target"]
+        have = [np.empty(0, np.int64)] * 4
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at, part in T.in_parts(texts, 4 << 20):
-                before, to, text = _transitions(part, vocabulary)
-                mine = np.isin(np.array([-1 if x is None else x for x in ids[at : at + len(part)]], np.int64), wanted) & np.array([x is not None for x in ids[at : at + len(part)]], bool)
-                slot = _slot(before, to) + len(vocabulary) + 2
-                for k, on in ((0, slice(None)), (1, mine[text] if len(text) else slice(None))):
-                    both[k] += np.bincount(to[on], minlength=size) + np.bincount(slot[on], minlength=size)
-        some = np.flatnonzero(both[0])
-        for lo in range(0, len(some), 100_000):
-            at = some[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(both[0][at]), pa.array(both[1][at])], names=["slot", "background", "target"])
-
-    narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    sums = narrow.mapInArrow(counted, "slot long, background long, target long").groupBy("slot").agg(F.sum("background").alias("background"), F.sum("target").alias("target")).toArrow()
-    width = len(vocabulary) + 2
-    counts = {}
-    for name in ("background", "target"):
-        counts[name] = np.zeros(width + (1 << SLOT_BITS), np.int64)
-        counts[name][sums["slot"].to_numpy()] = sums[name].to_numpy()
-    return Models(vocabulary, counts, mass)
+            wanted = batch.column(1).to_numpy()
+            for at, part in T.in_parts(batch.column(0).to_pylist(), 4 << 20):
+                before, after, text = _transitions(part)
+                keys, sums = _summed([before, after], [np.ones(len(text), np.int64), wanted[at : at + len(part)][text]])
+                have = [np.concatenate(x) for x in zip(have, [*keys, *sums], strict=True)]
+                if len(have[0]) > HELD:
+                    keys, sums = _summed(have[:2], have[2:])
+                    yield _batch(dict(zip(names, [*keys, *sums], strict=True)))
+                    have = [np.empty(0, np.int64)] * 4
+        keys, sums = _summed(have[:2], have[2:])
+        yield _batch(dict(zip(names, [*keys, *sums], strict=True)))
+
+    rows = marked.mapInArrow(counted, "before long, after long, background long, target long")
+    return rows.groupBy("before", "after").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+
+
+@dataclass
+class Models:
+    """Counts of both models: singles (word, background, target) and pairs (before, after, background, target), and their totals."""
 
+    docs: DataFrame
+    singles: DataFrame
+    pairs: DataFrame
+    background: int
+    target: int
+    words: int
+    mass: float
 
-def score(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_words, target_loss, background_loss (bits a token), score (background less target).
+    def bits(self, name: str) -> Column:
+        """Bits of a pair as counted, with (name, after_name) of with_singles.
 
-    A higher score: more like the target. Null, empty and wordless texts have 0 in every column; null ids stay null and
-    are no target documents; repeated rows give repeated rows; an empty table gives no rows; other columns are not read.
+        A pair costs log2(before + mass) - log2(pair + mass * alone). Over a text, what comes before is what comes after,
+        so the first term is taken of `after` and the sum is the same; no pair has to meet the count of its first word.
+        """
+        total = max(1.0, float(self.target))
+        scale = total / max(1.0, float(self.background if name == "background" else self.target))
+        after = F.col(f"after_{name}") * scale
+        return F.log2(after + self.mass) - F.log2(F.col(name) * scale + self.mass * (after + 1.0) / (total + self.words + 2))
+
+    def with_singles(self, pairs: DataFrame) -> DataFrame:
+        """pairs with after_background and after_target; words that the models lack count 0."""
+        of = self.singles.select(F.col("word").alias("after"), F.col("background").alias("after_background"), F.col("target").alias("after_target"))
+        return pairs.join(of, "after", "left").na.fill(0, ["after_background", "after_target"])
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", target: str = "quality = 1 and toxic = 0", vocabulary_size: int | None = None, mass: float = 50.0) -> Models:
+    """Counts over all documents; target documents are all those whose labels meet `target`.
+
+    vocabulary_size: what the caller holds the vocabulary to be at most. More words are an error; none is left out for it.
     """
+    chosen = labels.where(target).select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
+    counts = _scratch.materialise(pair_counts(docs, chosen, id_col=id_col, text_col=text_col), "pairs")
+    singles = counts.groupBy(F.col("after").alias("word")).agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
+    singles = _scratch.materialise(singles, "singles")
+    sums = singles.agg(F.coalesce(F.sum("background"), F.lit(0)), F.coalesce(F.sum("target"), F.lit(0)), F.count(F.when(F.col("word") != EDGE, 1))).first()
+    if vocabulary_size is not None and sums[2] > vocabulary_size:
+        raise ValueError(f"{sums[2]} words, more than {vocabulary_size}")
+    return Models(docs, singles, counts, *sums, mass)
+
+
+def _steps(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, doc_id, before, after, n): each document's pairs; one row without a pair for a text without words."""
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(models)
 
-    def scored(batches):
+    def made(batches):
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for at, part in T.in_parts(batch.column(1).to_pylist(), 4 << 20):
-                n, target, background = shared.value.losses(part)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(n.astype(np.int64)), pa.array(target), pa.array(background), pa.array(np.round(background - target, 9))], names=["doc_id", "n_words", "target_loss", "background_loss", "score"])
+                before, after, text = _transitions(part)
+                (text, before, after), (n,) = _summed([text, before, after], [np.ones(len(text), np.int64)])
+                none = np.setdiff1d(np.arange(len(part)), text)
+                which = np.concatenate([text, none])
+                gap = [None] * len(none)
+                ends = [pa.concat_arrays([pa.array(x, pa.int64()), pa.array(gap, pa.int64())]) for x in (before, after)]
+                times = np.concatenate([n, np.zeros(len(none), np.int64)])
+                ids = batch.column(0).slice(at, len(part)).take(pa.array(which))
+                yield pa.RecordBatch.from_arrays([pa.array(row + which), ids, *ends, pa.array(times)], names=["row", "doc_id", "before", "after", "n"])
+                row += len(part)
+
+    return narrow.mapInArrow(made, "row long, doc_id long, before long, after long, n long")
 
-    return narrow.mapInArrow(scored, "doc_id long, n_words long, target_loss double, background_loss double, score double")
+
+def score(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: doc_id, n_words, target_loss, background_loss (bits a token), score (background less target).
+
+    A higher score: more like the target. Null, empty and wordless texts have 0 in every column; null ids stay null and
+    are no target documents; repeated rows give repeated rows; an empty table gives no rows; other columns are not read.
+    """
+    steps = _steps(docs, id_col, text_col)
+    pairs = models.pairs
+    if not docs.sameSemantics(models.docs):  # pairs that the models have not seen
+        other = steps.where("n > 0").select("before", "after").distinct().join(pairs, ["before", "after"], "left_anti")
+        pairs = pairs.unionByName(other.withColumns({x: F.lit(0).cast("long") for x in ("background", "target")}))
+    sums = [F.coalesce(F.sum(F.col("n") * models.bits(x)), F.lit(0.0)).alias(x) for x in ("target", "background")]
+    each = steps.join(models.with_singles(pairs), ["before", "after"], "left").groupBy("row", "doc_id").agg(F.sum("n").alias("n"), *sums)
+    loss = {x: F.round(F.col(x) / F.greatest("n", F.lit(1)), 9) for x in ("target", "background")}
+    out = each.select("doc_id", F.greatest(F.col("n") - 1, F.lit(0)).alias("n_words"), loss["target"].alias("target_loss"), loss["background"].alias("background_loss"))
+    return out.withColumn("score", F.round(F.col("background_loss") - F.col("target_loss"), 9))

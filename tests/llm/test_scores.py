@@ -99,6 +99,38 @@ def test_lm_query(spark):
     assert np.mean([got[d] for d, y in labels.items() if y == 1]) > np.mean([got[d] for d, y in labels.items() if y == 0])
 
 
+def test_lm_counts_every_word_and_pair(spark):
+    """More words than 2^15 and more pairs than 2^20 have their own counts; all target documents count."""
+    n = 40_000
+    texts = [" ".join(f"w{(i * 31 + k * k * (i + 1)) % n}" for k in range(40)) for i in range(n)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(25_000)], "doc_id long, quality int, toxic int")
+    models = lm_score.fit(docs, labels)
+    steps = Counter(s for t in texts for s in itertools.pairwise(["", *t.split(), ""]))
+    assert models.words == len({w for t in texts for w in t.split()}) > 32_768
+    assert models.pairs.count() == len(steps) > 1 << 20
+    assert (models.background, models.target) == (sum(steps.values()), 25_000 * 41)
+
+
+def test_lm_scores_texts_it_has_not_counted(spark):
+    docs = spark.createDataFrame([(i, "a b c a d" if i % 2 else "c b x") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    models = lm_score.fit(docs, labels)
+    one, two = Counter(), Counter()
+    for i in range(20):
+        w = ["", *("a b c a d" if i % 2 else "c b x").split(), ""]
+        one.update(w[1:])
+        two.update(itertools.pairwise(w))
+    s, total, width = 6 / sum(one.values()), 6, 5 + 2
+    bits = lambda a, b: -math.log2((two[a, b] * s + 50 * (one[b] * s + 1) / (total + width)) / (one[a] * s + 50))
+    new = spark.createDataFrame([(1, "a c zz b"), (1, None)], "doc_id long, text string")
+    got = sorted(lm_score.score(new, models).collect(), key=lambda r: r.n_words)
+    assert tuple(got[0]) == (1, 0, 0.0, 0.0, 0.0)
+    assert got[1].background_loss == pytest.approx(sum(itertools.starmap(bits, itertools.pairwise(["", "a", "c", "zz", "b", ""]))) / 5, abs=1e-6)
+    with pytest.raises(ValueError):
+        lm_score.fit(docs, labels, vocabulary_size=3)
+
+
 def test_minimum_cut_is_minimal():
     rng = np.random.default_rng(2)
     for _ in range(60):
