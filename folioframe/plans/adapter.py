@@ -28,7 +28,7 @@ TABLES = {
                CASE s_suppkey % 5 WHEN 0 THEN concat('José Gärtner-Ruiz', s_suppkey % 7) WHEN 1 THEN concat('O''Keefe', s_suppkey % 9, ', Ann')
                     WHEN 2 THEN concat('Serge Lang', s_suppkey % 6, ' Jr.') WHEN 3 THEN 'Unknown' ELSE concat('Ann B. Smith', s_suppkey % 8) END AS name
         FROM supplier""",
-    "books_authors_link": "SELECT DISTINCT l_suppkey AS id, l_partkey AS book, l_suppkey AS author FROM lineitem WHERE l_suppkey % 10 = l_partkey % 10",
+    "books_authors_link": "SELECT DISTINCT l_suppkey AS id, l_partkey AS book, l_suppkey AS author FROM lineitem",
     "tags": "SELECT DISTINCT 100 + length(p_type) * 10 + ascii(p_type) % 10 AS id, p_type AS name FROM part UNION SELECT DISTINCT ascii(l_returnflag) AS id, concat('Flag ', l_returnflag) AS name FROM lineitem",
     "books_tags_link": """
         SELECT 1000 AS id, p_partkey AS book, 100 + length(p_type) * 10 + ascii(p_type) % 10 AS tag FROM part WHERE p_partkey % 9 <> 0

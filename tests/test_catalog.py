@@ -183,3 +183,11 @@ def test_stream(spark, tmp_path):
 def test_oversized_reads_stay_lazy(spark, small):
     plan = dedup.size_groups(catalog.books(small))._jdf.queryExecution().toString()
     assert "content" not in plan
+
+
+def test_every_book_has_all_its_suppliers_as_authors(spark, sf_dir):
+    from folioframe.plans import adapter
+
+    pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect()
+    links = adapter.catalog(spark, sf_dir)["books_authors_link"].select("book", "author").collect()
+    assert sorted(map(tuple, links)) == sorted(map(tuple, pairs))
