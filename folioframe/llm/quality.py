@@ -7,7 +7,7 @@ compressed alone. A logistic regression on these two numbers, fitted on labelled
 them a score. Nothing but the text is an input of a score.
 
 The fit uses at most `dictionary_rows` and `calibration_rows` labelled rows of each class (those of the smallest hash of
-the id), and of each at most `fit_chars` characters. Scoring is a map over whole texts.
+the id), and their whole texts: the calibration's numbers are computed where the texts are. Scoring is a map over whole texts.
 """
 
 from __future__ import annotations
@@ -91,26 +91,40 @@ def _dictionary(texts: list[str], size: int) -> bytes:
         return b"\n".join(samples)[-size:] or b" "
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", dictionary_rows: int = 4000, calibration_rows: int = 3000, fit_chars: int = 4000, dictionary_bytes: int = 112_640) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", dictionary_rows: int = 4000, calibration_rows: int = 3000, dictionary_bytes: int = 112_640) -> Model:
     """Learn from labelled rows that are not held out; null or other labels and null ids are left out."""
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y")).where("id is not null and y in (0, 1)").where(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("y").alias("y"))
     each = dictionary_rows + calibration_rows
     chosen = known.where("y = 1").orderBy(F.xxhash64("id"), "id").limit(each).unionAll(known.where("y = 0").orderBy(F.xxhash64("id"), "id").limit(each))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.substring(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 1, fit_chars).alias("text"))
-    # Bounded by the parameters: at most 2 * each rows.
-    rows = texts.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("h"), "id", "y", "text").collect()
-    rows = sorted({(r.h, r.id, r.y, r.text) for r in rows})
-    classes = [[r for r in rows if r[2] == y] for y in (0, 1)]
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(chosen), "id").select(F.xxhash64("id").alias("h"), "id", "y", F.sha2("text", 256).alias("sha"), "text")
+    # Bounded by the parameters: at most 2 * each rows, without their texts.
+    keys = sorted({tuple(r) for r in rows.select("h", "id", "y", "sha").collect()})
+    classes = [[r for r in keys if r[2] == y] for y in (0, 1)]
     if min(map(len, classes)) < 4:
-        return Model(b"", b"", (0, 0, 0), (len(classes[1]) + 1) / (len(rows) + 2))
+        return Model(b"", b"", (0, 0, 0), (len(classes[1]) + 1) / (len(keys) + 2))
     share = dictionary_rows / each
     cuts = [int(len(x) * share) for x in classes]
-    bad, good = (_dictionary([r[3] for r in x[:n]], dictionary_bytes) for x, n in zip(classes, cuts, strict=True))
-    rest = [r for x, n in zip(classes, cuts, strict=True) for r in x[n:]]
-    scorer = Scorer(Model(good, bad, (0, 0, 0)))
-    x = np.array([scorer.features(r[3]) for r in rest])
-    w = _logistic(x, np.array([r[2] for r in rest], float))
+    first = {r: None for x, n in zip(classes, cuts, strict=True) for r in x[:n]}
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(r[1], r[3], r in first) for r in keys], "id long, sha string, dictionary boolean")
+    rows = rows.join(F.broadcast(wanted), ["id", "sha"])
+    # The dictionaries' texts: at most dictionary_rows of each class.
+    for r in rows.where("dictionary").select("h", "id", "y", "sha", "text").toLocalIterator():
+        first[(r.h, r.id, r.y, r.sha)] = r.text
+    bad, good = (_dictionary([first[r] for r in x[:n]], dictionary_bytes) for x, n in zip(classes, cuts, strict=True))
+    shared = _Shared(spark, Model(good, bad, (0, 0, 0)))
+
+    def measured(batches):
+        scorer = _scorer(shared)
+        for batch in batches:
+            found = [scorer.features(t) for t in batch.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], names=["h", "id", "y", "sha", "a", "b"])
+
+    rest = rows.where("not dictionary").select("h", "id", "y", "sha", "text").mapInArrow(measured, "h long, id long, y int, sha string, a double, b double")
+    rest = sorted({tuple(r) for r in rest.collect()})
+    w = _logistic(np.array([r[4:] for r in rest]), np.array([r[2] for r in rest], float))
     return Model(good, bad, tuple(float(v) for v in w))
 
 

@@ -47,6 +47,16 @@ def test_quality_learns_nothing_from_held_out_rows(spark):
     assert quality.fit(docs, labels) == quality.fit(docs, other)
 
 
+def test_quality_learns_from_whole_texts(spark):
+    rng = np.random.default_rng(1)
+    same = " ".join(rng.choice(["lorem", "ipsum", "dolor", "sit"], 900))
+    rows = [(i, same + " " + " ".join(rng.choice(["calm", "prose", "reads"] if i % 2 else ["BUY!!", "cheap$", "click>"], 400))) for i in range(200)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    assert len(same) > 4000 and b"prose" in model.good and b"cheap$" in model.bad
+    assert all(r.predicted == r.doc_id % 2 for r in quality.score(docs, model).collect())
+
+
 def _lm(texts, target, size, mass):
     words = [re.findall(r"[0-9a-z\x80-\U0010ffff]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
     counts = Counter(w for x in words for w in x)
