@@ -17,7 +17,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _scratch
@@ -54,9 +54,10 @@ def fingerprint(text: str | None, words: int, hash64) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """doc_id and fp, one row per input row; the shuffle-free part."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 3, also: str | None = None) -> DataFrame:
+    """doc_id and fp (and the string column `also`), one row per input row; the shuffle-free part."""
+    kept = [also] if also else []
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *kept)
 
     def made(batches):
         from xxhash import xxh64_intdigest
@@ -64,9 +65,9 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             texts = batch.column(1).to_pylist()
             values = np.array([fingerprint(t, words, xxh64_intdigest) for t in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *kept])
 
-    return narrow.mapInArrow(made, "doc_id long, fp long")
+    return narrow.mapInArrow(made, "doc_id long, fp long" + "".join(f", {x} string" for x in kept))
 
 
 def link(distinct: DataFrame, radius: int = 2) -> DataFrame:
@@ -92,17 +93,32 @@ def near_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     rows; other columns are not read.
     """
     prints = _scratch.materialise(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
-    distinct = _scratch.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    classes = _classes(prints, F.col("doc_id"), radius)
+    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def _classes(prints: DataFrame, key: Column, radius: int) -> DataFrame:
+    """(fp, least): the least key in the component of each fingerprint."""
+    distinct = _scratch.materialise(prints.groupBy("fp").agg(F.min(key).alias("least")), "distinct")
     roots = components(link(distinct.select("fp"), radius), "a", "b")
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = _scratch.materialise(rooted, "rooted")
-    named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    return rooted.select("fp", "root").join(named, "root").select("fp", "least")
 
 
 def drop_near(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 5, radius: int = 2) -> DataFrame:
-    """The rows of docs, all columns, with the smallest id of their component; rows without an id stay."""
-    groups = near_groups(docs, id_col=id_col, text_col=text_col, words=words, radius=radius)
-    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("__ff_id")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__ff_id"), "left_anti")
+    """One row of docs, all columns, of each component: that of the smallest id, null last, then of the smallest text hash."""
+    sha = F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)
+    prints = fingerprints(docs.withColumn("__ff_sha", sha), id_col=id_col, text_col=text_col, words=words, also="__ff_sha")
+    prints = _scratch.materialise(prints, "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__ff_sha")
+    marked = prints.join(_classes(prints, key, radius), "fp").select(F.col("doc_id").alias("__ff_id"), "__ff_sha", (key != F.col("least")).alias("goes"))
+    marked = _scratch.materialise(marked, "near")
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__ff_id")) & (sha == F.col("__ff_sha"))
+    rest = docs.join(marked.where("goes").select("__ff_id", "__ff_sha").distinct(), same, "left_anti")
+    repeated = marked.where("not goes").groupBy("__ff_id", "__ff_sha").count().where("count > 1").select("__ff_id", "__ff_sha")
+    if not repeated.head(1):
+        return rest
+    one = rest.join(repeated, same, "left_semi").withColumn("__ff_sha", sha).dropDuplicates([id_col, "__ff_sha"]).drop("__ff_sha")
+    return rest.join(repeated, same, "left_anti").unionByName(one)

@@ -118,6 +118,14 @@ def test_simhash_cases(spark):
     assert sorted(r.doc_id for r in simhash.drop_near(_rows(spark, ["w x y z u v", "w x y z u v", "q r s t"], [9, 3, 5])).collect()) == [3, 5]
 
 
+def test_near_copies_with_repeated_and_null_ids(spark):
+    a, b, c = "w x y z u v", "q r s t and other words that are not near", "here is a third text of its own with more to say"
+    rows = [(2, a), (7, a), (7, b), (3, c), (3, c + " "), (3, c.upper()), (None, a), (None, "only here and only once"), (None, " only here and only once"), (5, "k l m n"), (5, "k l m n")]
+    left = sorted(simhash.drop_near(_rows(spark, [t for _, t in rows], [d for d, _ in rows])).collect(), key=str)
+    assert Counter(r.doc_id for r in left) == Counter([2, 7, 3, None, 5])
+    assert {r.doc_id: r.text for r in left}[7] == b
+
+
 def test_link_connects_all_within_radius(spark):
     rng = np.random.default_rng(3)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
