@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizing as T
+from ._workers import map_batches
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 _IN_WORD = np.zeros(256, bool)
@@ -235,7 +236,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
                     names=["doc_id", "n_words", "n_hit", "items", "runs"],
                 )
 
-    return narrow.mapInArrow(marked, MARKS)
+    return map_batches(narrow, marked, MARKS)
 
 
 def is_contaminated(n_words: int, n_hit: int, share: int = 20) -> bool:
@@ -261,4 +262,4 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
                 keep += [not is_contaminated(n, sum(b - a for a, b in runs), share) for n, _, runs in _match_texts(part, blocks)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(clean, docs.schema)
+    return map_batches(docs, clean, docs.schema)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizing as T
+from ._workers import map_batches
 
 # Element names of the HTML standard by their part in a page, and common words in class and id names.
 RAW = ("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "select", "object", "canvas", "audio", "video")
@@ -322,4 +323,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
                 texts = [main_text(x) for x in part]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), batch.column(1).slice(at, len(part)), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return narrow.mapInArrow(extracted, "page_id long, url string, text string, n_chars long")
+    return map_batches(narrow, extracted, "page_id long, url string, text string, n_chars long")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from . import _scratch
 from . import tokenizing as T
+from ._workers import map_batches
 
 GRAIN = 128
 #: Ranks within a length are counted in so many parts, so that a common length isn't one task's.
@@ -148,7 +149,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", te
                     rows += [(doc_id, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]), n) for start, length in cut(n, capacity)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return narrow.mapInArrow(pieces, PIECES)
+    return map_batches(narrow, pieces, PIECES)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int | None = 2) -> DataFrame:

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from ._workers import map_batches
 
 
 PIECE = 1000
@@ -122,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
             found = [scorer.features(t) for t in batch.column(4).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], *(pa.array([f[k] for f in found], pa.float64()) for k in (0, 1))], names=["h", "id", "y", "sha", "a", "b"])
 
-    rest = rows.where("not dictionary").select("h", "id", "y", "sha", "text").mapInArrow(measured, "h long, id long, y int, sha string, a double, b double")
+    rest = map_batches(rows.where("not dictionary").select("h", "id", "y", "sha", "text"), measured, "h long, id long, y int, sha string, a double, b double")
     rest = sorted({tuple(r) for r in rest.collect()})
     w = _logistic(np.array([r[4:] for r in rest]), np.array([r[2] for r in rest], float))
     return Model(good, bad, tuple(float(v) for v in w))
@@ -164,7 +165,7 @@ def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: st
             values = [scorer.score(t) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values, pa.float64()), pa.array([int(x >= threshold) for x in values], pa.int32())], names=["doc_id", "held_out", "score", "predicted"])
 
-    return narrow.mapInArrow(scored, "doc_id long, held_out boolean, score double, predicted int")
+    return map_batches(narrow, scored, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_poor(docs: DataFrame, model: Model, *, text_col: str = "text", threshold: float = 0.3) -> DataFrame:
@@ -177,4 +178,4 @@ def drop_poor(docs: DataFrame, model: Model, *, text_col: str = "text", threshol
         for batch in batches:
             yield batch.filter(pa.array([scorer.score(t) >= threshold for t in batch.column(place).to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return map_batches(docs, kept, docs.schema)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from . import _scratch
 from . import tokenizing as T
 from .decontaminate import _mix, merge
+from ._workers import map_batches
 
 LENGTH = 400
 GRAM = 32
@@ -225,7 +226,7 @@ def _anchor_rows(narrow: DataFrame, length: int, gram: int) -> DataFrame:
                     kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
-    return narrow.mapInArrow(made, ANCHORS)
+    return map_batches(narrow, made, ANCHORS)
 
 
 def _wanted(live: DataFrame, bits: int) -> np.ndarray:
@@ -284,7 +285,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate([pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()])], names=["h", "c1", "c2", "low", "high", "raw"])
 
-    held = narrow.mapInArrow(chosen, "h long, c1 long, c2 long, low int, high int, raw binary")
+    held = map_batches(narrow, chosen, "h long, c1 long, c2 long, low int, high int, raw binary")
     held = held.select("h", "c1", "c2", "low", "high", F.lit(0).cast("long").alias("n"), "raw")
     counts = live.select("h", "c1", "c2", "low", "high", "n", F.lit(None).cast("binary").alias("raw"))
     dealt = counts.unionByName(held).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "c1", "c2", F.desc("n"))
@@ -319,7 +320,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         close()
         yield out()
 
-    offsets = _scratch.materialise(dealt.mapInArrow(sorted_out, "h long, c1 long, c2 long, least int, most int"), "offsets")
+    offsets = _scratch.materialise(map_batches(dealt, sorted_out, "h long, c1 long, c2 long, least int, most int"), "offsets")
     hits = anchors.select("h", "c1", "c2", "n", "step", "doc_id", "text_key", "place").join(offsets, ["h", "c1", "c2"])
     spans = hits.select("doc_id", "text_key", (F.col("place") - F.col("most")).cast("long").alias("start"), (F.col("place") + (F.col("n") - 1) * F.col("step") - F.col("least") + length).cast("long").alias("end"))
     spans = spans.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -341,4 +342,4 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    return joined.mapInArrow(removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")
+    return map_batches(joined, removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>")

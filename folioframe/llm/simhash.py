@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from . import _scratch
 from . import tokenizing as T
 from .components import components
+from ._workers import map_batches
 
 BITS = 64
 
@@ -67,7 +68,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             values = np.array([fingerprint(t, words, xxh64_intdigest) for t in texts], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64)), *batch.columns[2:]], names=["doc_id", "fp", *kept])
 
-    return narrow.mapInArrow(made, "doc_id long, fp long" + "".join(f", {x} string" for x in kept))
+    return map_batches(narrow, made, "doc_id long, fp long" + "".join(f", {x} string" for x in kept))
 
 
 def link(distinct: DataFrame, radius: int = 2) -> DataFrame:

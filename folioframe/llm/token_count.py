@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokenizing as T
+from ._workers import map_batches
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -51,4 +52,4 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
 
-    return narrow.mapInArrow(counted, SCHEMA)
+    return map_batches(narrow, counted, SCHEMA)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import _scratch
 from . import tokenizing as T
+from ._workers import map_batches
 
 MAGIC = b"FOLIOEF1"
 FOOTER = struct.Struct("<QQQQBBxxxxxx8s")  # shard, documents, ids, high bits in bytes, id size, low bits, magic
@@ -178,7 +179,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str =
             closed()
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.int64()) for i in range(4)], names=["part", "seq", "n_docs", "n_ids"])
 
-    made = sorted(tuple(r) for r in dealt.mapInArrow(written, "part long, seq long, n_docs long, n_ids long").collect())
+    made = sorted(tuple(r) for r in map_batches(dealt, written, "part long, seq long, n_docs long, n_ids long").collect())
     rows, first = [], 0
     for part, seq, n_docs, n_ids in made:
         rows.append((part, seq, n_docs, n_ids, first))
@@ -205,7 +206,7 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
                     schema=pa.schema([(c, pa.int64()) for c in ("part", "seq", "doc_id", "at", "n_tokens", "ids_crc32")]),
                 )
 
-    rows = files.mapInArrow(read, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    rows = map_batches(files, read, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
     first = F.broadcast(manifest.select("part", "seq", "first_id"))  # a row a file
     return rows.join(first, ["part", "seq"]).select("doc_id", (F.col("first_id") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
