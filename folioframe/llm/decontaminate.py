@@ -6,14 +6,17 @@ same k-gram of it; so the join of kept fingerprints misses no shared run. Each h
 the item (exact words, not hashes), and runs of at least `window` words count. An item of fewer words is one window of
 its own length; those few lengths are winnowed with k as long as the item, which keeps every gram.
 
-The benchmark's fingerprints go to the executors by broadcast, in blocks of at most `block_bytes` of benchmark text; a
-benchmark of several blocks is matched block after block, each held alone. Documents are read once and never shuffled.
+Benchmark texts go to the executors by broadcast, in blocks of about `block_bytes`; each worker indexes the block's
+fingerprints itself. Documents are read once for each block and their texts are never shuffled; where there are several
+blocks, the few rows with a hit meet their documents again by a join. Very long items are cut into pieces that overlap by
+a window less a word, so that each window lies in one.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -21,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import _scratch
 from . import tokenizing as T
 from ._workers import map_batches
 
@@ -108,10 +112,10 @@ class Index:
             rows.sort()
             values = np.array([r[0] for r in rows], np.uint64)
             self.by_size[size] = (*np.unique(values, return_index=True, return_counts=True), np.array([r[1:] for r in rows], np.int64))
-        n = max(map(len, self.words), default=0)
-        self.table = np.full((len(items), n + 2 * window), -2, np.int64)  # padded, so that extension needs no edge cases
-        for i, x in enumerate(self.words):
-            self.table[i, window : window + len(x)] = x
+        # All items' words one after the other, with a window of no words around each, so that extension needs no edge cases.
+        gap = np.full(window, -2, np.int64)
+        self.flat = np.concatenate([gap, *(y for x in self.words for y in (x, gap))])
+        self.begin = np.cumsum([window] + [len(x) + window for x in self.words])[:-1]
 
     def match(self, words: np.ndarray, doc_of: np.ndarray, raw_of) -> dict[int, tuple[set, np.ndarray]]:
         """By document with a hit: the items' places, and the (start, end) word runs that are hit."""
@@ -156,7 +160,7 @@ class Index:
                 j = np.repeat(first[at : at + 4096], c) + np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
                 for lo in range(0, len(p), 65_536):
                     pp, (item, q) = p[lo : lo + 65_536], refs[j[lo : lo + 65_536]].T
-                    same = padded[pp[:, None] + span + w] == self.table[item[:, None], q[:, None] + span + w]
+                    same = padded[pp[:, None] + span + w] == self.flat[(self.begin[item] + q)[:, None] + span]
                     back = np.minimum.accumulate(same[:, w - 2 :: -1], axis=1).sum(axis=1) if w > 1 else 0
                     ahead = np.minimum.accumulate(same[:, w - 1 :], axis=1).sum(axis=1)
                     good = (back + ahead >= size) & (ahead > 0)
@@ -175,20 +179,56 @@ def merge(runs: np.ndarray) -> np.ndarray:
     return np.stack([runs[new, 0], end[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(runs) - 1]])]], axis=1)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, k: int, block_bytes: int) -> list:
-    """Broadcast variables, each with the index of a block of bounded size."""
-    spark = benchmark.sparkSession
+#: Words of an item in one piece.
+PIECE = 200_000
+
+
+def _pieces(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
+    """(item_id, text), long items cut."""
+
+    def cut(batches):
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                texts = [text]
+                if len(text) > PIECE and len(words := WORD.findall(text.encode().lower())) > PIECE:
+                    texts = [b" ".join(words[i : i + PIECE + window - 1]).decode() for i in range(0, len(words), PIECE)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(texts), pa.int64()), pa.array(texts, pa.string())], names=["item_id", "text"])
+
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return map_batches(items, cut, "item_id long, text string")
+
+
+class _Block:
+    """A broadcast block of items; each worker makes its index once."""
+
+    _made: dict[str, Index] = {}
+
+    def __init__(self, spark, items: list[tuple], window: int, k: int):
+        self.name, self.items, self.window, self.k = uuid.uuid4().hex, spark.sparkContext.broadcast(items), window, k
+
+    def index(self) -> Index:
+        if self.name not in self._made:
+            self._made.clear()  # one is held at a time
+            self._made[self.name] = Index(self.items.value, self.window, self.k)
+        return self._made[self.name]
+
+
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, k: int, block_bytes: int) -> list[_Block]:
+    """Blocks of about block_bytes of text; the driver holds one at a time."""
+    spark = benchmark.sparkSession
+    items = _pieces(benchmark, item_col, text_col, window).distinct()
     size = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     n = max(1, math.ceil(size / block_bytes))
+    if n > 1:
+        items = _scratch.materialise(items, "items")
     out = []
     for i in range(n):
-        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).distinct().collect() if n > 1 else items.distinct().collect()
-        out.append(spark.sparkContext.broadcast(Index(sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r)), window, k)))
+        rows = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i) if n > 1 else items).collect()
+        out.append(_Block(spark, sorted(((r.item_id, r.text) for r in rows), key=lambda r: (r[0] is None, r)), window, k))
     return out
 
 
-def _match_texts(texts: list, blocks: list) -> list[tuple[int, list, list]]:
+def _match_texts(texts: list, index: Index) -> list[tuple[int, list, list]]:
     """(words, item ids, hit runs) of each text."""
     raws = [(t or "").encode().lower() for t in texts]
     buffer = b"\x00".join(raws)
@@ -196,16 +236,13 @@ def _match_texts(texts: list, blocks: list) -> list[tuple[int, list, list]]:
     edges = np.cumsum([0] + [len(x) + 1 for x in raws])
     doc_of = np.searchsorted(edges, starts, "right") - 1
     n_words = np.bincount(doc_of, minlength=len(texts)) if len(texts) else []
-    items: dict = defaultdict(set)
-    runs: dict = defaultdict(list)
-    for block in blocks:
-        index = block.value
-        for d, (which, where) in index.match(words, doc_of, raws.__getitem__).items():
-            items[d].update(index.ids[i] for i in which)
-            runs[d].append(where)
-        if len(blocks) > 1:
-            del block._value  # one block is held at a time
-    return [(int(n_words[d]), sorted((x for x in items[d]), key=lambda x: (x is None, x)) if d in items else [], merge(np.concatenate(runs[d])).tolist() if d in runs else []) for d in range(len(texts))]
+    found = index.match(words, doc_of, raws.__getitem__)
+    none = set(), np.empty((0, 2), np.int64)
+    return [(int(n_words[d]), _ordered({index.ids[i] for i in found.get(d, none)[0]}), found.get(d, none)[1].tolist()) for d in range(len(texts))]
+
+
+def _ordered(ids: set) -> list:
+    return sorted(ids, key=lambda x: (x is None, x))
 
 
 MARKS = "doc_id long, n_words long, n_hit long, items array<long>, runs array<array<long>>"
@@ -217,26 +254,56 @@ def mark(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     Null and empty texts have no words and are never hit; items without words match nothing; equal item rows count
     once, and items that share an id count once in `items`; an empty benchmark hits nothing; a null document id stays null.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     blocks = _blocks(benchmark, item_col, item_text_col, window, k, block_bytes)
+    text = F.col(text_col).cast("string")
+    keys = [F.xxhash64(F.lit(i), text).alias(n) for i, n in enumerate(_KEYS)] if len(blocks) > 1 else []
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *keys)
+
+    def marked(block):
+        def made(batches):
+            index = block.index()
+            for batch in batches:
+                for at, part in T.in_parts(batch.column(1).to_pylist(), 4 << 20):
+                    rows = _match_texts(part, index)
+                    also = [batch.column(i).slice(at, len(part)) for i in range(2, batch.num_columns)]
+                    yield _mark_batch(batch.column(0).slice(at, len(part)), rows, also)
+
+        return map_batches(narrow, made, MARKS + "".join(f", {n} long" for n in _KEYS if keys))
+
+    if not keys:
+        return marked(blocks[0])
+    # Rows of one id and text have the same marks, so one of them says what the others have.
+    base, hits = marked(blocks[0]), None
+    for block in blocks:
+        own = _scratch.materialise(marked(block).where("size(runs) > 0").dropDuplicates(["doc_id", *_KEYS]), "hits")
+        hits = own if hits is None else hits.unionByName(own)
+    all_of = hits.groupBy(F.col("doc_id").alias("of_id"), *(F.col(n).alias(f"of_{n}") for n in _KEYS)).agg(F.flatten(F.collect_list("items")).alias("all_items"), F.flatten(F.collect_list("runs")).alias("all_runs"))
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b"))
+    joined = base.select("doc_id", "n_words", *_KEYS).join(all_of, same, "left").select("doc_id", "n_words", "all_items", "all_runs")
 
-    def marked(batches):
+    def merged(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for at, part in T.in_parts(texts, 4 << 20):
-                rows = _match_texts(part, blocks)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(at, len(part)),
-                        pa.array([r[0] for r in rows], pa.int64()),
-                        pa.array([sum(b - a for a, b in r[2]) for r in rows], pa.int64()),
-                        pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-                        pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.int64()))),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "items", "runs"],
-                )
-
-    return map_batches(narrow, marked, MARKS)
+            rows = [(n, _ordered(set(i or ())), merge(np.array(r or [], np.int64).reshape(-1, 2)).tolist()) for n, i, r in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True)]
+            yield _mark_batch(batch.column(0), rows, [])
+
+    return map_batches(joined, merged, MARKS)
+
+
+_KEYS = ("a", "b")
+
+
+def _mark_batch(ids: pa.Array, rows: list[tuple[int, list, list]], also: list[pa.Array]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            ids,
+            pa.array([r[0] for r in rows], pa.int64()),
+            pa.array([sum(b - a for a, b in r[2]) for r in rows], pa.int64()),
+            pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+            pa.array([r[2] for r in rows], pa.list_(pa.list_(pa.int64()))),
+            *also,
+        ],
+        names=["doc_id", "n_words", "n_hit", "items", "runs", *_KEYS[: len(also)]],
+    )
 
 
 def is_contaminated(n_words: int, n_hit: int, share: int = 20) -> bool:
@@ -253,13 +320,20 @@ def digest(marked: DataFrame, share: int = 20) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = 13, k: int = 8, share: int = 20, block_bytes: int = 32 << 20) -> DataFrame:
     """The rows of docs, all columns, whose text is not contaminated."""
     blocks = _blocks(benchmark, "item_id", "text", window, k, block_bytes)
-    place = docs.columns.index(text_col)
+    if len(blocks) > 1:  # by text: what is contaminated does not hang on the id
+        text = F.col(text_col).cast("string")
+        texts = docs.select(F.xxhash64(text).alias("__ff_id"), text.alias("__ff_text"))
+        marks = mark(texts, benchmark, id_col="__ff_id", text_col="__ff_text", window=window, k=k, block_bytes=block_bytes)
+        gone = digest(marks, share).where("contaminated").select(F.col("doc_id").alias("__ff_id")).distinct()
+        return docs.join(gone, F.xxhash64(text) == F.col("__ff_id"), "left_anti")
+    place, block = docs.columns.index(text_col), blocks[0]
 
     def clean(batches):
+        index = block.index()
         for batch in batches:
             keep = []
             for _, part in T.in_parts(batch.column(place).to_pylist(), 4 << 20):
-                keep += [not is_contaminated(n, sum(b - a for a, b in runs), share) for n, _, runs in _match_texts(part, blocks)]
+                keep += [not is_contaminated(n, sum(b - a for a, b in runs), share) for n, _, runs in _match_texts(part, index)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return map_batches(docs, clean, docs.schema)

@@ -233,6 +233,21 @@ def test_decontamination_random(spark, block_bytes):
     assert sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in expect if not r[-1])
 
 
+def test_decontamination_with_an_item_of_a_million_words(spark):
+    """Beside 2,000 short ones: what is held grows with the words, and windows at the cuts of the long item are found."""
+    rng = np.random.default_rng(8)
+    long = rng.integers(0, 50_000, 1_000_000)
+    say = lambda xs: " ".join(f"w{x}" for x in xs)
+    items = [(0, say(long))] + [(i, say(rng.integers(60_000, 90_000, int(rng.integers(1, 30))))) for i in range(1, 2001)]
+    edge = decontaminate.PIECE
+    docs = [(1, "before " + say(long[edge - 6 : edge + 7]) + " after"), (2, "before " + say(long[edge - 6 : edge + 6]) + " after"), (3, say(long[-40:])), (4, items[5][1]), (5, say(long[2 * edge - 30 : 2 * edge + 40]))]
+    docs_df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for block_bytes in (32 << 20, 3 << 20):
+        got = {r.doc_id: (r.n_words, r.n_hit, r.items) for r in decontaminate.mark(docs_df, bench, block_bytes=block_bytes).collect()}
+        assert got[1] == (15, 13, [0]) and got[2] == (14, 0, []) and got[3] == (40, 40, [0]) and got[5] == (70, 70, [0])
+        assert got[4][1] == got[4][0] and 5 in got[4][2]
+
+
 def test_decontamination_empty(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = _rows(spark, ["a b c", None])
