@@ -49,9 +49,10 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .html_extract import extract
+    from .html_extract import extract, fit
 
-    return extract(_read(spark, sf_dir, "pages"))
+    pages = _read(spark, sf_dir, "pages")
+    return extract(pages, fit(pages))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -152,6 +152,64 @@ def test_minimum_cut_is_minimal():
         assert price(got) == pytest.approx(min(map(price, itertools.product([False, True], repeat=n))), abs=1e-6)
 
 
+def _price(found, model, picked):
+    e, w = html_extract.costs(found, model), html_extract.edges(found, model.smooth)
+    return sum(x if x > 0 and not v else -x if x < 0 and v else 0 for x, v in zip(e, picked, strict=True)) + sum(c for a, b, c in w if picked[a] != picked[b])
+
+
+def test_whole_pages_are_cut_at_least_cost():
+    """Every labelling of a page's blocks, against the cut's; pages of nameless elements, so that blocks are weak."""
+    rng = np.random.default_rng(4)
+    model, moved = html_extract.Model(), 0
+    for _ in range(40):
+        parts = [rng.choice(["Ok", "One two", "A line of some words, with no end", "This is a whole sentence of the text, and it ends here.", "<a href=x>Home and away</a>"]) for _ in range(int(rng.integers(1, 10)))]
+        page = "".join(f"<div>{x}</div>" if rng.random() < 0.6 else f"<div><div>{x}</div></div>" for x in parts)
+        found = html_extract.blocks(page)
+        got = html_extract.labels(found, model)
+        best = min(_price(found, model, x) for x in itertools.product([False, True], repeat=len(found)))
+        assert _price(found, model, got) == pytest.approx(best, abs=0.01)
+        moved += sum((e > 0) != v for e, v in zip(html_extract.costs(found, model), got, strict=True))
+    assert moved > 10
+
+
+@pytest.mark.parametrize(("token", "expect"), [("sidebar", 1), ("left-sidebar", 1), ("cookieNotice", 1), ("post_footer", 0.85), ("legal-analysis", html_extract.HINT), ("share-buttons", 1), ("ad-leaderboard", html_extract.HINT), ("has-sidebar", 0), ("alert-free", 0), ("story", 0), ("shareholder", 0)])
+def test_names_say_more_or_less(token, expect):
+    assert html_extract.strength(token, frozenset(html_extract.AWAY_WORDS)) == expect
+
+
+@pytest.mark.parametrize("model", [None, "fitted"])
+def test_names_of_ancestors_are_no_veto(spark, model):
+    text = "This sentence is part of the article and it is long enough to look like one."
+    if model:
+        model = html_extract.fit(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"))
+        assert model.weights != html_extract.PRIOR
+    cases = {
+        f"<div class='layout has-sidebar'><article><p>{text}</p><p>Ok</p></article></div>": f"{text}\nOk",
+        f"<div class='post legal-analysis'><p>{text}</p><p>{text}</p></div>": f"{text}\n{text}",
+        f"<article><p>{text}</p><div class=ad-leaderboard><p>Buy it now.</p></div><p>{text}</p></article>": f"{text}\n{text}",
+        f"<main><div class='row alert-free'><p>{text}</p></div></main>": text,
+        f"<form id=aspnetForm><div class=nav><a href=x>Home</a></div><div class=content><p>{text}</p></div></form>": text,
+        f"<div class='widget Blog'><article><h2>T</h2><p>{text}</p></article></div><div class=sidebar><article><p>{text}</p></article></div>": f"T\n{text}",
+        f"<article><p>{text}</p><div class=notice><p>{text}</p></div><form><p>{text}</p></form><div class=share-buttons>Tell all</div></article><div class=comments><p>{text}</p></div>": text,
+    }
+    for page, expect in cases.items():
+        assert html_extract.main_text(page, model) == expect
+
+
+def test_fit_without_pages_that_tell():
+    assert html_extract.fit_pages([]) == html_extract.fit_pages([None, "", "<p>x"]) == html_extract.Model()
+
+
+def test_deep_and_unmatched_markup_is_linear():
+    import time
+
+    n = 100_000
+    for page in ("<center></i2></q9>" * n + "<p>deep</p>", "<div><p>a</q>" * (n // 10), "<center>" * n + "x" + "</b2>" * n, "<article>" + "<div>" * n + "<p>deep</p></article>", "<ul>" + "<li>" * n, "<table>" + "<tr><td>" * (n // 2)):
+        began = time.time()
+        html_extract.main_text(page)
+        assert time.time() - began < 20
+
+
 LONG = "This sentence is part of the article and it is long enough to look like one. "
 PAGES = [
     (None, ""),
