@@ -11,13 +11,18 @@ sorted whose like may exist, and only next to those that may equal them:
 3. Strings of one anchor value are ordered by deep-shallow sorting. A multikey sort with 8-byte characters goes to a
    shallow depth; what is still tied then goes to blind tries: the members of a tied group are compared with the group's
    first one, leave it at the depth and character where they differ, and those that differ alike form the group below.
-   Strings that reach one leaf are equal, and they repeat if their classes count two or more.
+   Strings that reach one leaf are equal, and they repeat if their classes count two or more. Many anchor values are
+   sorted in one go, and a large one some offsets at a time.
+   An anchor value with more than CROWD classes (a passage that very many documents have in different surroundings) would
+   be one task's: its strings are told apart by a 128-bit hash of the whole string instead, and classes that share one are
+   found by a grouping that is summed in the task before the shuffle. It gives the same offsets.
 4. The repeating offsets of each class go back to all its contexts, and their spans to the documents.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +40,10 @@ GRAM = 32
 SEGMENT = 1 << 20
 #: Strings that are sorted at a time.
 STRINGS = 400_000
+#: Classes of one anchor value that meet in one task at most.
+CROWD = 1024
+#: At most so many chosen contexts are told to every task, by a bit set of 16 bits each; more are joined to their texts.
+TOLD = 1 << 23
 SHALLOW = 4
 _SEEDS = (np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
 _POSITION = np.uint64((1 << 24) - 1)
@@ -111,8 +120,11 @@ def _class(low: int, high: int, part: bytes) -> tuple[int, int]:
     return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
 
 
-def equal_groups(buffer: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each string buffer[start : start + length] a label that only equal strings share; the deep-shallow sort."""
+def equal_groups(buffer: np.ndarray, starts: np.ndarray, length: int, apart: np.ndarray | None = None) -> np.ndarray:
+    """For each string buffer[start : start + length] a label that only equal strings share; the deep-shallow sort.
+
+    apart: strings with different values of it are kept apart.
+    """
     n = len(starts)
     label = np.arange(n)
     if n < 2:
@@ -121,6 +133,13 @@ def equal_groups(buffer: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
     depths = [*range(0, length - 7, 8)] + ([length - 8] if length % 8 else [])
     # Shallow: a multikey sort; each round orders what is still tied by the next character.
     order, group = np.arange(n), np.zeros(n, np.int64)
+    if apart is not None:
+        order = np.argsort(apart, kind="stable")
+        group = np.cumsum(np.diff(apart[order], prepend=apart[order[0]]) != 0)
+        tied = np.bincount(group)[group] > 1
+        order, group = order[tied], group[tied]
+        if not len(order):
+            return label
     for depth in depths[:SHALLOW]:
         key = chars[starts[order] + depth].astype(np.uint64)
         by = np.lexsort((key, group))
@@ -166,19 +185,21 @@ def equal_groups(buffer: np.ndarray, starts: np.ndarray, length: int) -> np.ndar
     return label
 
 
-def repeating_offsets(classes: list[tuple[int, int, int, bytes]], length: int) -> list[list[tuple[int, int]]]:
-    """Of the classes (count, low, high, bytes) of one anchor value: for each the runs of offsets whose strings repeat.
+def repeating_offsets(classes: list[tuple[int, int, int, int, bytes]], length: int) -> list[tuple[int, int, int]]:
+    """Of classes (anchor, count, low, high, bytes): runs (place in the list, first and last offset) of the strings that repeat.
 
-    Strings of different offsets are never equal, so a large group is sorted some offsets at a time.
+    Only strings of one anchor and offset can be equal. What is sorted at a time is bounded by STRINGS and by the classes.
     """
-    if len(classes) == 1:
-        n, low, high, _ = classes[0]
-        return [[(low, high)] if n > 1 else []]
-    buffer = np.frombuffer(b"".join(x[3] for x in classes) + bytes(8), np.uint8)
-    base = np.cumsum([0] + [len(x[3]) for x in classes])[:-1]
-    count, low, high = (np.array([x[i] for x in classes], np.int64) for i in range(3))
-    found: list[list[int]] = [[] for _ in classes]
-    step = max(1, STRINGS // len(classes))
+    if not classes:
+        return []
+    buffer = np.frombuffer(b"".join(x[4] for x in classes) + bytes(8), np.uint8)
+    base = np.cumsum([0] + [len(x[4]) for x in classes])[:-1]
+    anchor, count, low, high = (np.array([x[i] for x in classes], np.int64) for i in range(4))
+    anchor = np.unique(anchor, return_inverse=True)[1]
+    total = int((high - low + 1).sum())
+    step = int(high.max() - low.min()) + 1
+    step = step if total <= STRINGS else max(1, step * STRINGS // total)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     for at in range(int(low.min()), int(high.max()) + 1, step):
         a, b = np.maximum(low, at), np.minimum(high, at + step - 1)
         size = np.maximum(0, b - a + 1)
@@ -186,21 +207,23 @@ def repeating_offsets(classes: list[tuple[int, int, int, bytes]], length: int) -
             continue
         who = np.repeat(np.arange(len(classes)), size)
         offset = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) + a[who]
-        starts = base[who] + high[who] - offset
-        label = equal_groups(buffer, starts, length)
+        label = equal_groups(buffer, base[who] + high[who] - offset, length, anchor[who] << 32 | offset)
         twice = np.bincount(label, count[who], len(label))[label] > 1
-        for w, o in zip(who[twice].tolist(), offset[twice].tolist(), strict=True):
-            found[w].append(o)
-    out = []
-    for offsets in found:
-        runs: list[tuple[int, int]] = []
-        for o in offsets:
-            if runs and runs[-1][1] == o - 1:
-                runs[-1] = (runs[-1][0], o)
-            else:
-                runs.append((o, o))
-        out.append(runs)
-    return out
+        found.append((who[twice], offset[twice]))
+    if not found:
+        return []
+    who, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+    return _offset_runs(who, offset)
+
+
+def _offset_runs(who: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int]]:
+    if not len(who):
+        return []
+    order = np.lexsort((offset, who))
+    who, offset = who[order], offset[order]
+    first = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (offset[1:] != offset[:-1] + 1)))
+    last = np.append(first[1:], len(who)) - 1
+    return list(zip(who[first].tolist(), offset[first].tolist(), offset[last].tolist(), strict=True))
 
 
 ANCHORS = "h long, c1 long, c2 long, low int, high int, n long, step int, doc_id long, text_key long, place int"
@@ -231,7 +254,7 @@ def _anchor_rows(narrow: DataFrame, length: int, gram: int) -> DataFrame:
 
 def _wanted(live: DataFrame, bits: int) -> np.ndarray:
     """A bit set of fixed size that has the chosen contexts' places (and, by chance, some others)."""
-    at = F.pmod(F.xxhash64("doc_id", "text_key", "place"), F.lit(1 << bits))
+    at = F.pmod(F.xxhash64("doc_id", "text_key", "place"), F.lit(1 << bits))  # at most 2^bits / 8 bytes come back
     words = live.select((F.shiftright(at, 15)).alias("part"), (at % (1 << 15)).alias("bit")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("map")).collect()
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in words:
@@ -250,28 +273,40 @@ def _spark_hash(values: list[tuple[int | None, int]]) -> int:
     return h
 
 
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, filter_bits: int = 26) -> DataFrame:
-    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed bytes, [start, end)).
+RAW = "h long, c1 long, c2 long, low int, high int, raw binary"
+_RAW_KINDS = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()]
 
-    Null counts as empty; texts shorter than `length` lose nothing; equal rows are documents of their own, so each
-    repeats the other; null ids are kept apart by their texts; an empty table gives no rows; other columns are not read.
-    filter_bits sets the size of the bit set that is broadcast (2^filter_bits / 8 bytes) to choose contexts on the second
-    reading; a crowded one lets more contexts through to the shuffle and changes no result.
-    """
-    spark = docs.sparkSession
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    anchors = _scratch.materialise(_anchor_rows(narrow, length, gram), "anchors")
-    classes = anchors.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("place").alias("place"))
-    shared_h = classes.groupBy("h").agg(F.sum("n").alias("all")).where("all > 1").select("h")
-    live = _scratch.materialise(classes.join(shared_h, "h", "left_semi"), "classes")
-    wanted = spark.sparkContext.broadcast(_wanted(live, filter_bits))
-    mask = (1 << filter_bits) - 1
+
+def _bytes_of(narrow: DataFrame, live: DataFrame, length: int, gram: int, told: int) -> DataFrame:
+    """RAW rows with the bytes of the chosen contexts in live (doc_id, text_key, place), and of some others by chance."""
+    names = [x.split()[0] for x in RAW.split(", ")]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(_RAW_KINDS)], names=names)
+
+    n = live.count()
+    if n > told:  # a bit set would have no proven bound: the chosen places go to their texts by a shuffle
+        places = live.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_set("place").alias("places"))
+        one = narrow.dropDuplicates(["doc_id", "text_key"])
+        texts = one.join(places, one["doc_id"].eqNullSafe(places["of_id"]) & (one["text_key"] == places["of_key"])).select("text", "places")
+
+        def joined(batches):
+            for batch in batches:
+                for at, part in T.in_parts(batch.column(0).to_pylist(), 4 << 20):
+                    wanted = [set(x) for x in batch.column(1).slice(at, len(part)).to_pylist()]
+                    rows = [(h, *_class(low, high, raw), low, high, raw) for i, p, h, low, high, raw in contexts([t.encode() for t in part], length, gram) if p in wanted[i]]
+                    if rows:
+                        yield batch_of(rows)
+
+        return map_batches(texts, joined, RAW)
+    bits = max(15, math.ceil(math.log2(16 * max(n, 1))))
+    shared = narrow.sparkSession.sparkContext.broadcast(_wanted(live, bits))
+    mask = (1 << bits) - 1
 
     def chosen(batches):
         from xxhash import xxh64_intdigest
 
-        bits = wanted.value
+        have = shared.value
         for batch in batches:
             ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
             for at, part in T.in_parts(texts, 4 << 20):
@@ -280,47 +315,116 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
                     if before is None or before[0] != i:
                         before = (i, _spark_hash([(ids[at + i], 8), (keys[at + i], 8)]))
                     bit = xxh64_intdigest(p.to_bytes(4, "little"), before[1]) & mask
-                    if bits[bit >> 3] >> (bit & 7) & 1:
+                    if have[bit >> 3] >> (bit & 7) & 1:
                         rows.append((h, *_class(low, high, raw), low, high, raw))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate([pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()])], names=["h", "c1", "c2", "low", "high", "raw"])
+                    yield batch_of(rows)
+
+    return map_batches(narrow, chosen, RAW)
+
 
-    held = map_batches(narrow, chosen, "h long, c1 long, c2 long, low int, high int, raw binary")
+OFFSETS = "h long, c1 long, c2 long, least int, most int"
+
+
+def _offset_batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate([pa.int64()] * 3 + [pa.int32()] * 2)], names=[x.split()[0] for x in OFFSETS.split(", ")])
+
+
+def _sorted_offsets(counts: DataFrame, held: DataFrame, tasks: int, length: int) -> DataFrame:
+    """OFFSETS of the anchor values that are not crowded: their classes meet in one task and are sorted."""
     held = held.select("h", "c1", "c2", "low", "high", F.lit(0).cast("long").alias("n"), "raw")
-    counts = live.select("h", "c1", "c2", "low", "high", "n", F.lit(None).cast("binary").alias("raw"))
-    dealt = counts.unionByName(held).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "h").sortWithinPartitions("h", "c1", "c2", F.desc("n"))
+    rows = counts.select("h", "c1", "c2", "low", "high", "n", F.lit(None).cast("binary").alias("raw")).unionByName(held)
+    dealt = rows.repartition(tasks, "h").sortWithinPartitions("h", "c1", "c2", F.desc("n"))
 
     def sorted_out(batches):
-        group: list = []  # of one anchor value: [h, c1, c2, count, low, high, bytes]
-        rows: list = []
-
-        def close():
-            known = [x for x in group if x[6] is not None and x[3] > 0]
-            if not known:
-                return
-            for x, runs in zip(known, repeating_offsets([tuple(x[3:]) for x in known], length), strict=True):
-                rows.extend((x[0], x[1], x[2], a, b) for a, b in runs)
+        group: list[list] = []  # classes: [h, c1, c2, count, low, high, bytes]
+        strings = 0
 
         def out():
-            b = pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate([pa.int64()] * 3 + [pa.int32()] * 2)], names=["h", "c1", "c2", "least", "most"])
-            rows.clear()
-            return b
-
+            missing = [x for x in group if x[6] is None]
+            if missing:
+                raise RuntimeError(f"no bytes came for {len(missing)} classes, the first of anchor {missing[0][0]}")
+            # A class alone with its anchor value repeats if it counts two, and needs no sort: so do those that a sort would leave alone.
+            runs = repeating_offsets([(x[0], *x[3:]) for x in group], length)
+            return _offset_batch([(*group[i][:3], a, b) for i, a, b in runs])
+
+        wanted = False
         for batch in batches:
             for h, c1, c2, low, high, n, raw in zip(*(batch.column(j).to_pylist() for j in range(7)), strict=True):
-                if group and group[0][0] != h:
-                    close()
-                    group = []
                 if n > 0:
+                    if strings > STRINGS and group[-1][0] != h:
+                        yield out()
+                        group, strings = [], 0
                     group.append([h, c1, c2, n, low, high, None])
-                elif group and group[-1][1] == c1 and group[-1][2] == c2 and group[-1][6] is None:
+                    strings += high - low + 1
+                    wanted = True
+                elif wanted and group[-1][6] is None and group[-1][:3] == [h, c1, c2]:
                     group[-1][6] = raw
-            if len(rows) > 50_000:
-                yield out()
-        close()
-        yield out()
+        if group:
+            yield out()
+
+    return map_batches(dealt, sorted_out, OFFSETS)
+
+
+def _crowded_offsets(held: DataFrame, length: int) -> DataFrame:
+    """OFFSETS of crowded anchor values, by hashes of whole strings: those that two different classes have."""
+
+    def hashed(batches):
+        from xxhash import xxh3_128_digest
+
+        for batch in batches:
+            for h, c1, c2, low, high, raw in zip(*(batch.column(j).to_pylist() for j in range(6)), strict=True):
+                offsets = range(low, high + 1)
+                names = np.frombuffer(b"".join(xxh3_128_digest(raw[high - o : high - o + length]) for o in offsets), "<i8").reshape(-1, 2)
+                n = len(names)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, x)) for x in (h, c1, c2)), pa.array(np.arange(low, high + 1, dtype=np.int32)), pa.array(names[:, 0]), pa.array(names[:, 1])], names=["h", "c1", "c2", "o", "k1", "k2"])
+
+    strings = _scratch.materialise(map_batches(held, hashed, "h long, c1 long, c2 long, o int, k1 long, k2 long"), "strings")
+    own = F.struct("c1", "c2")
+    shared = strings.groupBy("h", "o", "k1", "k2").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x <> y").drop("x", "y")
+    each = strings.join(shared, ["h", "o", "k1", "k2"]).groupBy("h", "c1", "c2").agg(F.collect_set("o").alias("offsets"))  # at most `length` of them
+
+    def runs(batches):
+        for batch in batches:
+            of = batch.column(3).to_pylist()
+            found = _offset_runs(np.repeat(np.arange(len(of)), [len(x) for x in of]), np.array([o for x in of for o in x], np.int64))
+            keys = [batch.column(j).to_pylist() for j in range(3)]
+            yield _offset_batch([(keys[0][i], keys[1][i], keys[2][i], a, b) for i, a, b in found])
 
-    offsets = _scratch.materialise(map_batches(dealt, sorted_out, "h long, c1 long, c2 long, least int, most int"), "offsets")
+    return map_batches(each, runs, OFFSETS)
+
+
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, filter_bits: int | None = None, crowd: int = CROWD) -> DataFrame:
+    """One row per input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (removed bytes, [start, end)).
+
+    Null counts as empty; texts shorter than `length` lose nothing; equal rows are documents of their own, so each
+    repeats the other; null ids are kept apart by their texts; an empty table gives no rows; other columns are not read.
+    filter_bits: contexts are told to every task up to 2^filter_bits / 16 of them (default TOLD), beyond that by a join;
+    crowd: classes of one anchor value that one task sorts. Neither changes a result.
+    """
+    spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+    anchors = _scratch.materialise(_anchor_rows(narrow, length, gram), "anchors")
+    classes = anchors.groupBy("h", "c1", "c2").agg(F.sum("n").alias("n"), F.first("low").alias("low"), F.first("high").alias("high"), F.first("doc_id").alias("doc_id"), F.first("text_key").alias("text_key"), F.first("place").alias("place"))
+    by_anchor = classes.groupBy("h").agg(F.sum("n").alias("all"), F.count("*").alias("kinds")).where("all > 1").select("h", "kinds")
+    live = _scratch.materialise(classes.join(by_anchor, "h"), "classes")
+    # A class that is alone with its anchor value repeats as a whole, as every class does that counts two.
+    whole = live.where("n > 1").select("h", "c1", "c2", F.col("low").alias("least"), F.col("high").alias("most"))
+    several = live.where("kinds > 1")
+    told = TOLD if filter_bits is None else 1 << filter_bits >> 4
+    held = _bytes_of(narrow, several, length, gram, told)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(several.count() * 2 * length / (64 << 20)))
+    many = several.where(F.col("kinds") > crowd).select("h", "c1", "c2")
+    if many.head(1):
+        held = _scratch.materialise(held, "bytes")
+        few = _sorted_offsets(several.where(F.col("kinds") <= crowd), held.join(many.select("h").distinct(), "h", "left_anti"), tasks, length)
+        offsets = few.unionByName(_crowded_offsets(held.join(many, ["h", "c1", "c2"], "left_semi"), length))
+    else:
+        offsets = _sorted_offsets(several, held, tasks, length)
+    # What repeats as a whole was sorted only so that others could be found equal to it.
+    partly = offsets.join(whole.select("h", "c1", "c2"), ["h", "c1", "c2"], "left_anti")
+    offsets = _scratch.materialise(partly.unionByName(whole), "offsets")
     hits = anchors.select("h", "c1", "c2", "n", "step", "doc_id", "text_key", "place").join(offsets, ["h", "c1", "c2"])
     spans = hits.select("doc_id", "text_key", (F.col("place") - F.col("most")).cast("long").alias("start"), (F.col("place") + (F.col("n") - 1) * F.col("step") - F.col("least") + length).cast("long").alias("end"))
     spans = spans.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))

@@ -82,3 +82,27 @@ def test_crowded_filter_and_empty(spark):
     docs = spark.createDataFrame(pairs, "doc_id long, text string")
     assert _got(repeats.repeats(docs, length=50, gram=8, filter_bits=15)) == _brute(pairs, 50)
     assert repeats.repeats(docs.where("false"), length=50, gram=8).collect() == []
+
+
+def test_all_ways_to_the_same_result(spark, monkeypatch):
+    """Crowded anchor values by hashes, chosen contexts by a join, small portions to sort: the spans stay what they are."""
+    rng = np.random.default_rng(4)
+    text = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    passage = text(90)
+    texts = [text(int(rng.integers(0, 120))) + passage[int(rng.integers(0, 20)) :] + text(int(rng.integers(0, 120))) for _ in range(60)]
+    texts += [texts[0], texts[3], passage * 3, None, "", texts[7][5:]]
+    pairs = list(enumerate(texts)) + [(2, texts[2]), (None, texts[4])]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    expect = _brute(pairs, 40)
+    assert any(0 < x[2] < x[1] for x in expect)
+    for crowd, bits in ((1024, None), (3, None), (1024, 4), (3, 4)):
+        assert _got(repeats.repeats(docs, length=40, gram=8, crowd=crowd, filter_bits=bits)) == expect
+    monkeypatch.setattr(repeats, "STRINGS", 50)
+    assert _got(repeats.repeats(docs, length=40, gram=8)) == expect
+
+
+def test_bytes_that_do_not_come_are_an_error(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "x" + "abcdefgh" * 9), (2, "y" + "abcdefgh" * 9 + "z")], "doc_id long, text string")
+    monkeypatch.setattr(repeats, "_bytes_of", lambda narrow, *_: narrow.selectExpr("0L h", "0L c1", "0L c2", "0 low", "0 high", "cast(null as binary) raw").where("false"))
+    with pytest.raises(Exception, match="no bytes came"):
+        repeats.repeats(docs, length=40, gram=8).collect()
