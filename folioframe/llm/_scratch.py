@@ -11,9 +11,11 @@ _paths: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests, one machine), a folder of our own is set as the checkpoint folder."""
+    """spark.checkpoint.dir; where it is unset and Spark runs on this machine alone (tests), a folder of our own is set as the checkpoint folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="folioframe-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")
