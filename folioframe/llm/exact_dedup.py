@@ -84,7 +84,9 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     identity = done[0]
     for x in done[1:]:
         identity = identity.unionByName(x)
+    # Written, so that the join below reads two plain shuffles and a group of very many copies can be split.
     groups = identity.groupBy("k", "name").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "rid")).alias("best")).where("n > 1")
+    groups = _scratch.materialise(groups, "groups")
     member = identity.select("rid", "k", "name").join(groups, ["k", "name"]).select("rid", "n", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
     return rows.select("rid", "doc_id", "text_sha256").join(member, "rid", "left").select(
         "doc_id",
@@ -110,10 +112,3 @@ def drop_exact(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     rest = docs.join(simply, same_id & same_text, "left_anti")
     one = rest.join(repeated, same_id & same_text, "left_semi").withColumn("__ff_sha", sha).dropDuplicates([id_col, "__ff_sha"]).drop("__ff_sha")
     return rest.join(repeated, same_id & same_text, "left_anti").unionByName(one)
-
-
-ORACLE = """
-SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
-       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
-"""

@@ -418,6 +418,6 @@ def score(docs: DataFrame, models: Models, *, id_col: str = "doc_id", text_col:
 
     rows = map_batches(blocks.repartition(tasks, "bucket").sortWithinPartitions("bucket"), priced, SUMS)
     each = rows.groupBy("row").agg(F.max("doc_id").alias("doc_id"), *(F.sum(x).alias(x) for x in ("n", "background", "target")))
-    loss = {x: F.round(F.col(x) / UNIT / F.greatest("n", F.lit(1)), 9) for x in ("target", "background")}
+    loss = {x: F.col(x) / UNIT / F.greatest("n", F.lit(1)) for x in ("target", "background")}
     out = each.select("doc_id", F.greatest(F.col("n") - 1, F.lit(0)).alias("n_words"), loss["target"].alias("target_loss"), loss["background"].alias("background_loss"))
-    return out.withColumn("score", F.round(F.col("background_loss") - F.col("target_loss"), 9))
+    return out.withColumn("score", F.col("background_loss") - F.col("target_loss"))

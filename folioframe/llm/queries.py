@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .oracles import ORACLES
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -65,7 +67,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .repeats import repeats
 
-    return repeats(_read(spark, sf_dir, "documents"), length=400).drop("spans")
+    return repeats(_read(spark, sf_dir, "documents"), length=400, words=51).drop("spans")
 
 
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +87,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from .exact_dedup import ORACLE
-
-    return {"op3_exact_dedup": ORACLE}
+    return dict(ORACLES)

@@ -1,7 +1,8 @@
 """Repeated byte strings, against brute force."""
 
 import hashlib
-from collections import Counter
+import re
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -106,3 +107,31 @@ def test_bytes_that_do_not_come_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(repeats, "_bytes_of", lambda narrow, *_: narrow.selectExpr("0L h", "0L c1", "0L c2", "0 low", "0 high", "cast(null as binary) raw").where("false"))
     with pytest.raises(Exception, match="no bytes came"):
         repeats.repeats(docs, length=40, gram=8).collect()
+
+
+def _passages(pairs, words):
+    """Words in a run of `words` that another document has; rows of one id and text are one document."""
+    split = [re.findall(r"[^ \t-\r]+", t or "") for _, t in pairs]
+    holders = defaultdict(set)
+    for (d, t), w in zip(pairs, split, strict=True):
+        for i in range(len(w) - words + 1):
+            holders[tuple(w[i : i + words])].add((d, t))
+    out = []
+    for (d, _), w in zip(pairs, split, strict=True):
+        out.append((d, len({j for i in range(len(w) - words + 1) if len(holders[tuple(w[i : i + words])]) > 1 for j in range(i, i + words)})))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("crowd", [1024, 2])
+def test_passages_that_other_documents_have(spark, crowd):
+    rng = np.random.default_rng(6)
+    say = lambda n: " ".join(rng.choice(["a", "bb", "É", "d.", "the", "Of"], int(n)))
+    passage = say(40).split()
+    pairs = [(i, say(rng.integers(0, 40)) + "\n" + "\t ".join(passage[int(rng.integers(0, 15)) : int(rng.integers(18, 40))]) + " " + say(rng.integers(0, 30))) for i in range(60)]
+    pairs += [(100, " ".join(passage * 3)), (101, "only here " * 30), (102, None), (103, "\x0b\x0c "), (104, pairs[5][1]), (5, pairs[5][1]), (None, pairs[9][1])]
+    docs = spark.createDataFrame(pairs, "doc_id long, text string")
+    got = repeats.repeats(docs, length=60, gram=8, words=12, crowd=crowd)
+    expect = _passages(pairs, 12)
+    assert sorted(((r.doc_id, r.n_repeated_words) for r in got.collect()), key=str) == expect
+    assert len({n for _, n in expect}) > 5 and dict(expect)[101] == 0
+    assert _got(got) == _brute(pairs, 60)
