@@ -11,6 +11,7 @@ from . import _scratch
 def _towards_least(edges: DataFrame, seen: DataFrame) -> DataFrame:
     """Each node of `seen` (u, v) gets the least of its neighbours and itself; a hub's rows are summed before the shuffle."""
     least = seen.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("hub"), F.least("u", "m").alias("m"))
+    least = _scratch.materialise(least, "least")  # so that the join reads two plain shuffles and a hub can be split
     return edges.join(least, edges["u"] == least["hub"]).select("u", "v", "m")
 
 
