@@ -11,6 +11,8 @@ are then ranked within their length, and a piece's rank says which copy of which
 from __future__ import annotations
 
 import hashlib
+import logging
+import math
 import zlib
 
 import numpy as np
@@ -23,8 +25,9 @@ from . import tokenizing as T
 from ._workers import map_batches
 
 GRAIN = 128
-#: Ranks within a length are counted in so many parts, so that a common length isn't one task's.
+#: Ranks within a length are counted in so many parts at least, and in one for each PART_ROWS pieces, so that a common length isn't one task's.
 PARTS = 512
+PART_ROWS = 1 << 22
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -91,6 +94,8 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, *, tolerance: fl
         inverse -= np.outer(step, row)
         inverse[out] = row
         columns[:, out] = pattern
+    else:
+        logging.getLogger(__name__).warning("column generation ended after %d rounds, before its bound was reached; the plan is valid", rounds)
     plan: list[tuple[np.ndarray, int]] = []
     left = demand.copy()
     used = inverse @ demand
@@ -162,7 +167,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     """
     spark = docs.sparkSession
     made = _scratch.materialise(cut_documents(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_id=end_id), "pieces")
-    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(PARTS)).cast("int")
+    parts = max(PARTS, math.ceil(made.count() / PART_ROWS))
+    part = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(parts)).cast("int")
     counts = made.groupBy("length", part.alias("part")).agg(F.count("*").alias("n"))
     first = _scratch.materialise(counts, "piece-counts")
     histogram = first.groupBy("length").agg(F.sum("n").alias("n")).orderBy("length").collect()
@@ -173,7 +179,7 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     first = first.select(F.col("length").alias("of_length"), F.col("part").alias("of_part"), F.coalesce(before, F.lit(0)).alias("before"))
     in_part = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start", "ids_crc32")) - 1
     ranked = made.withColumn("part", part).withColumn("in_part", in_part)
-    # Both sides of these joins are bounded by the number of lengths, times PARTS for the first.
+    # Both sides of these joins are bounded by the number of lengths, times the parts for the first.
     ranked = ranked.join(F.broadcast(first), (F.col("length") == F.col("of_length")) & (F.col("part") == F.col("of_part"))).withColumn("rank", F.col("before") + F.col("in_part"))
     placed = ranked.join(F.broadcast(layout), (F.col("length") == F.col("at_length")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     k = F.col("rank") - F.col("lo")

@@ -1,16 +1,18 @@
 """Token ids as binary shards: one concatenated id array and Elias-Fano coded document boundaries.
 
-A shard file holds, in this order: the magic, the ids (2 bytes each where the vocabulary allows it, else 4), the
-document ids (8 bytes each) with a bit each for null, the low bits, the high bits and the select samples of the
-boundaries, and a footer of fixed size. Boundary i is the number of ids before document i; with n documents and u ids a
-boundary takes about 2 + log2(u / n) bits. Every 64th one's place in the high bits is sampled, so select() scans a few
-words instead of reading a table of 64-bit offsets.
+A shard file holds, in this order: the magic, the ids (2 bytes each where the vocabulary allows it, else 4), two
+Elias-Fano sequences (low bits, high bits, select samples), and a footer of fixed size. The first are the boundaries:
+boundary i is the number of ids before document i; with n documents and u ids it takes about 2 + log2(u / n) bits. The second
+are the document ids, which rise within a file, less the first one; rows without an id come before them and are only
+counted. Every 64th entry's place in the high bits is sampled, so select() scans a few words, and some() decodes a stretch;
+no table of 64-bit offsets is made for a file.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import math
 import struct
 import uuid
 import zlib
@@ -26,11 +28,17 @@ from . import tokenizing as T
 from ._workers import map_batches
 
 MAGIC = b"FOLIOEF1"
-FOOTER = struct.Struct("<QQQQBBxxxxxx8s")  # shard, documents, ids, high bits in bytes, id size, low bits, magic
+FOOTER = struct.Struct("<QQQQqQQBBBxxxxx8s")  # shard, documents, without an id, ids, first id, both high bits in bytes, id size, both low bits, magic
 SAMPLE = 64
 SUFFIX = ".ffef"
 #: A shard is closed at so many ids, so that a file stays well under the 2 GB a reader can hold.
 SHARD_IDS = 32 << 20
+#: Bytes of text that a task encodes.
+TASK_BYTES = 128 << 20
+#: Documents that are decoded at a time.
+DECODED = 4096
+#: At most so many files' rows are sent to every task (40 bytes each); more are joined by a shuffle.
+SENT = 1 << 20
 
 
 class EliasFano:
@@ -44,8 +52,10 @@ class EliasFano:
         values = np.asarray(values, np.uint64)
         n, top = len(values), int(values[-1]) if len(values) else 0
         width = max(0, (top // max(n, 1)).bit_length() - 1)
-        bits = (values[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)
-        low = np.packbits(bits.astype(np.uint8).ravel(), bitorder="little")
+        bits = np.empty((n, width), np.uint8)
+        for j in range(width):
+            bits[:, j] = (values >> np.uint64(j)) & np.uint64(1)
+        low = np.packbits(bits.ravel(), bitorder="little")
         places = (values >> np.uint64(width)).astype(np.int64) + np.arange(n)
         unary = np.zeros((int(places[-1]) + 1) if n else 0, np.uint8)
         unary[places] = 1
@@ -69,11 +79,25 @@ class EliasFano:
             value |= (int(self.low[bit // 8]) >> (bit % 8) & 1) << j
         return value
 
+    def some(self, first: int, last: int) -> np.ndarray:
+        """Values first to last - 1, from the sample before the first one on; what is held goes with their number."""
+        if first >= last:
+            return np.empty(0, np.uint64)
+        anchor = first // SAMPLE * SAMPLE
+        at = int(self.samples[anchor // SAMPLE])
+        end = int(self.samples[-(-last // SAMPLE)]) if -(-last // SAMPLE) < len(self.samples) else len(self.high) * 8 - 1
+        ones = np.flatnonzero(np.unpackbits(self.high[at // 8 : end // 8 + 1], bitorder="little")) + at // 8 * 8
+        ones = ones[ones >= at][first - anchor : last - anchor]
+        value = (ones - np.arange(first, last)).astype(np.uint64) << np.uint64(self.width)
+        if self.width:
+            bit = first * self.width
+            raw = np.unpackbits(self.low[bit // 8 : (last * self.width + 7) // 8], bitorder="little")[bit % 8 :][: (last - first) * self.width]
+            for j in range(self.width):
+                value |= raw[j :: self.width].astype(np.uint64) << np.uint64(j)
+        return value
+
     def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.width)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.width].reshape(self.n, self.width).astype(np.uint64)
-        return (high + (bits << np.arange(self.width, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)).astype(np.int64)
+        return self.some(0, self.n).astype(np.int64)
 
 
 class ShardWriter:
@@ -92,12 +116,16 @@ class ShardWriter:
         self.docs.append(doc_id)
 
     def close(self) -> None:
-        ef = EliasFano.of(np.array(self.ends, np.uint64))
-        self.out.write(np.array([x or 0 for x in self.docs], "<i8").tobytes())
-        self.out.write(np.packbits(np.array([x is None for x in self.docs], bool), bitorder="little").tobytes())
-        for part in (ef.low, ef.high, ef.samples):
-            self.out.write(part.tobytes())
-        self.out.write(FOOTER.pack(self.shard, len(self.docs), self.total, len(ef.high), self.id_size, ef.width, MAGIC))
+        """Ids have to rise, after the rows without one."""
+        known = [x for x in self.docs if x is not None]
+        nulls, base = len(self.docs) - len(known), known[0] if known else 0
+        if any(x is not None for x in self.docs[:nulls]) or any(a > b for a, b in zip(known, known[1:], strict=False)):
+            raise ValueError("documents have to come in the order of their ids, null first")
+        both = EliasFano.of(np.array(self.ends, np.uint64)), EliasFano.of(np.array([x - base for x in known], np.uint64))
+        for ef in both:
+            for part in (ef.low, ef.high, ef.samples):
+                self.out.write(part.tobytes())
+        self.out.write(FOOTER.pack(self.shard, len(self.docs), nulls, self.total, base, *(len(ef.high) for ef in both), self.id_size, *(ef.width for ef in both), MAGIC))
 
 
 class Shard:
@@ -105,7 +133,7 @@ class Shard:
 
     def __init__(self, content):
         view = memoryview(content)
-        self.shard, n, total, high, size, width, magic = FOOTER.unpack(view[-FOOTER.size :])
+        self.shard, n, self.nulls, total, self.base, *high, size, width, id_width, magic = FOOTER.unpack(view[-FOOTER.size :])
         if magic != MAGIC or bytes(view[: len(MAGIC)]) != MAGIC:
             raise ValueError("not a token shard")
         self.n, self.total = n, total
@@ -118,10 +146,27 @@ class Shard:
             return got
 
         self.ids = take(total, f"<u{size}")
-        self.docs = take(n, "<i8")
-        self.null = np.unpackbits(take((n + 7) // 8, "u1"), bitorder="little")[:n].astype(bool)
-        low, high = take(((n + 1) * width + 7) // 8, "u1"), take(high, "u1")
-        self.bounds = EliasFano(n + 1, width, low, high, take(-(-(n + 1) // SAMPLE), "<u4"))
+
+        def sequence(count: int, bits: int, high_bytes: int) -> EliasFano:
+            low, unary = take((count * bits + 7) // 8, "u1"), take(high_bytes, "u1")
+            return EliasFano(count, bits, low, unary, take(-(-count // SAMPLE), "<u4"))
+
+        self.bounds = sequence(n + 1, width, high[0])
+        self.known = sequence(n - self.nulls, id_width, high[1])
+
+    @property
+    def null(self) -> np.ndarray:
+        return np.arange(self.n) < self.nulls
+
+    @property
+    def docs(self) -> np.ndarray:
+        return self.doc_ids(0, self.n).fill_null(0).to_numpy()
+
+    def doc_ids(self, first: int, last: int) -> pa.Array:
+        """Ids of documents first to last - 1."""
+        none = max(0, min(last, self.nulls) - first)
+        ids = self.known.some(max(0, first - self.nulls), max(0, last - self.nulls))
+        return pa.concat_arrays([pa.nulls(none, pa.int64()), pa.array((ids + np.array(self.base, np.int64).view(np.uint64)).view(np.int64), pa.int64())])
 
     def document(self, i: int) -> np.ndarray:
         return self.ids[self.bounds.select(i) : self.bounds.select(i + 1)]
@@ -140,7 +185,9 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, *, id_col: str =
     spec = T.read_tokenizer(tokenizer)
     key = hashlib.sha256(spec.encode()).hexdigest()
     shared = spark.sparkContext.broadcast(spec)
-    dealt = narrow.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
+    size = narrow.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+    dealt = narrow.repartitionByRange(tasks, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def written(batches):
@@ -197,17 +244,18 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
         for batch in batches:
             for i in range(batch.num_rows):
                 x = Shard(batch.column(0)[i].as_buffer())
-                bounds = x.bounds.all()
-                crc = np.empty(x.n, np.int64)
-                for j in range(x.n):
-                    crc[j] = zlib.crc32(x.ids[bounds[j] : bounds[j + 1]].astype("<u4"))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(x.n, x.shard >> 20)), pa.array(np.full(x.n, x.shard & 0xFFFFF)), pa.array(x.docs, mask=x.null), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc)],
-                    schema=pa.schema([(c, pa.int64()) for c in ("part", "seq", "doc_id", "at", "n_tokens", "ids_crc32")]),
-                )
+                for at in range(0, x.n, DECODED):
+                    end = min(x.n, at + DECODED)
+                    bounds = x.bounds.some(at, end + 1).astype(np.int64)
+                    crc = [zlib.crc32(x.ids[a:b].astype("<u4")) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(end - at, x.shard >> 20)), pa.array(np.full(end - at, x.shard & 0xFFFFF)), x.doc_ids(at, end), pa.array(bounds[:-1]), pa.array(np.diff(bounds)), pa.array(crc, pa.int64())],
+                        schema=pa.schema([(c, pa.int64()) for c in ("part", "seq", "doc_id", "at", "n_tokens", "ids_crc32")]),
+                    )
 
     rows = map_batches(files, read, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
-    first = F.broadcast(manifest.select("part", "seq", "first_id"))  # a row a file
+    first = manifest.select("part", "seq", "first_id")  # a row a file
+    first = F.broadcast(first) if manifest.limit(SENT + 1).count() <= SENT else first
     return rows.join(first, ["part", "seq"]).select("doc_id", (F.col("first_id") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
