@@ -35,12 +35,38 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Shuffle files go when the table that they were for is written; should its DataFrame run again, Spark makes them anew.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet and read it again: cuts the lineage, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._folioframe_path = path
+    return out
+
+
+def settle(df: DataFrame, name: str, since: int, keep: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """materialise(), then remove all tables made after the first `since`, but for those in `keep` and the new one."""
+    out = materialise(df, name)
+    stay = {x._folioframe_path for x in (*keep, out)}
+    spark = df.sparkSession
+    for path in [x for x in _paths[since:] if x not in stay]:
+        fs, at = _hadoop(spark, path)
+        fs.delete(at, True)
+        _paths.remove(path)
+    return out
 
 
 def release(spark: SparkSession, keep: int = 0) -> None:

@@ -46,7 +46,7 @@ SEGMENT = 1 << 16
 #: Strings that are sorted at a time.
 STRINGS = 400_000
 #: Classes of one anchor value that meet in one task at most.
-CROWD = 1024
+CROWD = 4096
 #: At most so many chosen contexts are told to every task, by a bit set of 16 bits each; more are joined to their texts.
 TOLD = 1 << 23
 SHALLOW = 4
@@ -229,12 +229,15 @@ def repeating_offsets(classes: list[tuple], kind: Kind) -> list[tuple[int, int,
     base = np.cumsum([0] + [len(x[5]) for x in classes])[:-1]
     anchor, least, largest, low, high = (np.array([x[i] for x in classes], np.int64) for i in range(5))
     anchor = np.unique(anchor, return_inverse=True)[1]
-    total = int((high - low + 1).sum())
-    step = int(high.max() - low.min()) + 1
+    low, top = _within_reach(buffer, base, anchor, low, high, kind)
+    total = int(np.maximum(0, top - low + 1).sum())
+    if not total:
+        return []
+    step = int(top.max() - low.min()) + 1
     step = step if total <= STRINGS else max(1, step * STRINGS // total)
     found: list[tuple[np.ndarray, np.ndarray]] = []
-    for at in range(int(low.min()), int(high.max()) + 1, step):
-        a, b = np.maximum(low, at), np.minimum(high, at + step - 1)
+    for at in range(int(low.min()), int(top.max()) + 1, step):
+        a, b = np.maximum(low, at), np.minimum(top, at + step - 1)
         size = np.maximum(0, b - a + 1)
         if size.sum() == 0:
             continue
@@ -252,6 +255,41 @@ def repeating_offsets(classes: list[tuple], kind: Kind) -> list[tuple[int, int,
     return _offset_runs(who, offset)
 
 
+def _shared(chars: np.ndarray, starts: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
+    """For each string a bound, in bytes, of what it has in common with the most alike other of its group: a multikey sort that stops where a string is alone."""
+    out = np.zeros(len(starts), np.int64)
+    order = np.argsort(group, kind="stable")
+    group = np.cumsum(np.diff(group[order], prepend=group[order[0]]) != 0)
+    for depth in range(0, most, 8):
+        tied = np.bincount(group)[group] > 1
+        out[order[~tied]] = np.maximum(0, depth - 1)
+        order, group = order[tied], group[tied]
+        if not len(order):
+            return out
+        key = chars[np.minimum(starts[order] + depth, len(chars) - 1)].astype(np.uint64)
+        by = np.lexsort((key, group))
+        order, key, group = order[by], key[by], group[by]
+        group = np.cumsum(np.append(False, (group[1:] != group[:-1]) | (key[1:] != key[:-1])))
+    out[order] = most
+    return out
+
+
+def _within_reach(buffer: np.ndarray, base: np.ndarray, anchor: np.ndarray, low: np.ndarray, high: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) offsets of each class whose strings another class of the anchor may have; first > last: none.
+
+    A string at offset o has o units before the anchor's place and the others from it on, so some class has to agree with
+    its own for o units to the left, and some class for the rest to the right.
+    """
+    unit, most = kind.unit, kind.length * kind.unit
+    at = base + high * unit
+    forth = np.ndarray((len(buffer) - 7,), ">u8", buffer, strides=(1,))
+    mirror = np.concatenate([buffer[::-1], np.zeros(8, np.uint8)])
+    back = np.ndarray((len(mirror) - 7,), ">u8", mirror, strides=(1,))
+    right = _shared(forth, at, anchor, most)
+    left = _shared(back, len(buffer) - at, anchor, most)
+    return np.maximum(low, kind.length - right // unit), np.minimum(high, left // unit)
+
+
 def _offset_runs(who: np.ndarray, offset: np.ndarray) -> list[tuple[int, int, int]]:
     if not len(who):
         return []
@@ -288,9 +326,9 @@ def _anchor_rows(narrow: DataFrame, kind: Kind) -> DataFrame:
     return map_batches(narrow, made, ANCHORS)
 
 
-def _wanted(live: DataFrame, bits: int) -> np.ndarray:
-    """A bit set of fixed size that has the chosen contexts' places (and, by chance, some others)."""
-    at = F.pmod(F.xxhash64("doc_id", "text_key", "place"), F.lit(1 << bits))  # at most 2^bits / 8 bytes come back
+def _wanted(live: DataFrame, bits: int, *by: str) -> np.ndarray:
+    """A bit set of fixed size that has the chosen contexts' places or texts (and, by chance, some others)."""
+    at = F.pmod(F.xxhash64(*by), F.lit(1 << bits))  # at most 2^bits / 8 bytes come back
     words = live.select((F.shiftright(at, 15)).alias("part"), (at % (1 << 15)).alias("bit")).groupBy("part").agg(F.expr("bitmap_construct_agg(bit)").alias("map")).collect()
     out = np.zeros(1 << (bits - 3), np.uint8)
     for r in words:
@@ -336,15 +374,18 @@ def _bytes_of(narrow: DataFrame, live: DataFrame, kind: Kind, told: int) -> Data
 
         return map_batches(texts, joined, RAW)
     bits = max(15, math.ceil(math.log2(16 * max(n, 1))))
-    shared = narrow.sparkSession.sparkContext.broadcast(_wanted(live, bits))
+    shared = narrow.sparkSession.sparkContext.broadcast((_wanted(live, bits, "doc_id", "text_key", "place"), _wanted(live, bits, "doc_id", "text_key")))
     mask = (1 << bits) - 1
 
     def chosen(batches):
         from xxhash import xxh64_intdigest
 
-        have = shared.value
+        have, texts_of = shared.value
         for batch in batches:
             ids, keys, texts = (batch.column(i).to_pylist() for i in range(3))
+            of = [_spark_hash([(x, 8), (y, 8)]) & mask for x, y in zip(ids, keys, strict=True)]
+            there = [i for i, bit in enumerate(of) if texts_of[bit >> 3] >> (bit & 7) & 1]
+            ids, keys, texts = ([x[i] for i in there] for x in (ids, keys, texts))
             for at, part in T.in_parts(texts, 4 << 20):
                 rows, before = [], None
                 for i, p, h, low, high, raw in kind.contexts(part):
@@ -458,7 +499,7 @@ def _crowded_offsets(counts: DataFrame, held: DataFrame, kind: Kind) -> DataFram
 
 def _spans(narrow: DataFrame, kind: Kind, told: int, crowd: int) -> DataFrame:
     """(of_id, of_key, spans): the units, [start, end), that strings which repeat cover; a row for each text that has any."""
-    spark = narrow.sparkSession
+    spark, since = narrow.sparkSession, _scratch.held()
     anchors = _scratch.materialise(_anchor_rows(narrow, kind), "anchors")
     # The holders of a class: documents, or where one document is enough, places.
     holder = F.xxhash64("doc_id", "text_key") if kind.words else F.xxhash64("doc_id", "text_key", "place")
@@ -470,7 +511,7 @@ def _spans(narrow: DataFrame, kind: Kind, told: int, crowd: int) -> DataFrame:
     classes = _scratch.materialise(classes, "all-classes")
     by_anchor = classes.groupBy("h").agg(F.min("x").alias("first"), F.max("y").alias("last"), F.count("*").alias("kinds")).where("first <> last").select("h", "kinds")
     by_anchor = _scratch.materialise(by_anchor, "shared-anchors")  # so that the join reads two plain shuffles and a crowded anchor can be split
-    live = _scratch.materialise(classes.join(by_anchor, "h"), "classes")
+    live = _scratch.settle(classes.join(by_anchor, "h"), "classes", since, keep=(anchors,))
     # A class that has two holders repeats as a whole, and needs a sort only so that others can be found equal to it.
     whole = live.where("x <> y").select("h", "c1", "c2", F.col("low").alias("least"), F.col("high").alias("most"))
     several = live.where("kinds > 1")
@@ -484,10 +525,11 @@ def _spans(narrow: DataFrame, kind: Kind, told: int, crowd: int) -> DataFrame:
     else:
         offsets = _sorted_offsets(several, held, tasks, kind)
     partly = offsets.join(whole.select("h", "c1", "c2"), ["h", "c1", "c2"], "left_anti")
-    offsets = _scratch.materialise(partly.unionByName(whole), "offsets")
+    offsets = _scratch.settle(partly.unionByName(whole), "offsets", since, keep=(anchors,))
     hits = anchors.select("h", "c1", "c2", "n", "step", "doc_id", "text_key", "place").join(offsets, ["h", "c1", "c2"])
     spans = hits.select("doc_id", "text_key", (F.col("place") - F.col("most")).cast("long").alias("start"), (F.col("place") + (F.col("n") - 1) * F.col("step") - F.col("least") + kind.length).cast("long").alias("end"))
-    return spans.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = spans.groupBy(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return _scratch.settle(spans, "spans", since)
 
 
 def _runs_of(spans: list | None) -> list:
