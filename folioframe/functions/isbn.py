@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import strip
+from .text import bound, strip
 
 #: Fixed value: a labelled ISBN as it stands in running text.
 CANDIDATE = r"(?iU)(?:ISBN(?:-1[03])?[\s:]*)(97[89][-\s]?)?(?:\d[-\s]?){9,12}[\dxX]"
@@ -17,7 +17,7 @@ def clean(c: Column) -> Column:
     """Digits (and a final X of ten) alone; '' for what has not 10 or 13 of them."""
     s = F.regexp_replace(strip(F.coalesce(c, F.lit(""))), r"(?i)^\s*isbn(?:-1[03])?\s*[-: ]*", "")
     s = F.regexp_replace(F.regexp_replace(s, "[^0-9Xx]", ""), "x$", "X")
-    return F.when(s.rlike(r"^(?:[0-9]{9}[0-9X]|[0-9]{13})$") & ~s.isin(*NOUGHT), s).otherwise(F.lit(""))
+    return bound(s, lambda x: F.when(x.rlike(r"^(?:[0-9]{9}[0-9X]|[0-9]{13})$") & ~x.isin(*NOUGHT), x).otherwise(F.lit("")))
 
 
 def _digit(s: Column, i: int) -> Column:
@@ -41,21 +41,49 @@ def is_13(cleaned: Column) -> Column:
 
 
 def valid(c: Column) -> Column:
-    s = clean(c)
-    return is_10(s) | is_13(s)
+    return bound(clean(c), lambda s: is_10(s) | is_13(s))
 
 
 def to_13(c: Column) -> Column:
     """A valid ISBN-10 as its ISBN-13; anything else cleaned."""
-    s = clean(c)
-    stem = F.concat(F.lit("978"), F.substring(s, 1, 9))
-    check = (10 - _sum(stem, [1, 3] * 6) % 10) % 10
-    return F.when(is_10(s), F.concat(stem, check.cast("string"))).otherwise(s)
+    as_13 = lambda s: bound(F.concat(F.lit("978"), F.substring(s, 1, 9)), lambda stem: F.concat(stem, ((10 - _sum(stem, [1, 3] * 6) % 10) % 10).cast("string")))
+    return bound(clean(c), lambda s: F.when(is_10(s), as_13(s)).otherwise(s))
+
+
+# The registrant ranges of the large groups, first to last by their digits; a range's registrants have as many
+# digits as its ends.
+REGISTRANTS = {
+    "0": "00-19 200-699 7000-8499 85000-89999 900000-949999 9500000-9999999",
+    "1": "00-09 100-399 4000-5499 55000-86979 869800-998999 9990000-9999999",
+    "2": "00-19 200-349 35000-39999 400-699 7000-8399 84000-89999 900000-949999 9500000-9999999",
+    "3": "00-02 030-033 0340-0369 03700-03999 04-19 200-699 7000-8499 85000-89999 900000-949999 9500000-9539999 95400-96999 9700000-9899999 99000-99999",
+    "4": "00-19 200-699 7000-8499 85000-89999 900000-949999 9500000-9999999",
+    "5": "00-19 200-699 7000-8499 85000-89999 900000-909999 91000-91999 9200-9299 93000-94999 9500000-9500999 9501-9799 98000-98999 9900000-9909999 9910-9999",
+    "7": "00-09 100-499 5000-7999 80000-89999 900000-999999",
+}
+
+
+def _masked(s: Column) -> Column:
+    """Group, registrant, publication and check digit of a cleaned number; the number itself if its group or registrant is not known."""
+    long = F.length(s) == 13
+    body = F.when(long, F.substring(s, 4, 10)).otherwise(s)
+
+    ranges = [(g, *(e.ljust(7, fill) for e, fill in zip(r.split("-"), "09", strict=True)), len(r.split("-")[0])) for g, rs in REGISTRANTS.items() for r in rs.split()]
+    table = F.array(*(F.struct(F.lit(g).alias("g"), F.lit(a).alias("a"), F.lit(z).alias("z"), F.lit(n).alias("n")) for g, a, z, n in ranges))
+
+    def parts(x: Column) -> Column:
+        digits = F.substring(x, 2, 7)
+        size = F.get(F.filter(table, lambda r: (r["g"] == F.substring(x, 1, 1)) & digits.between(r["a"], r["z"])), 0)["n"]
+        told = lambda n: F.concat_ws("-", F.substring(x, 1, 1), F.substr(x, F.lit(2), n), F.substr(x, n + 2, 8 - n), F.substring(x, 10, 1))
+        return bound(size, lambda n: F.when(n.isNotNull(), told(n)))
+
+    masked = bound(body, parts)
+    return F.coalesce(F.when(long & s.startswith("978"), F.concat(F.lit("978-"), masked)), F.when(~long, masked), s)
 
 
 def hyphenate(c: Column) -> Column:
-    """For display. Registrant ranges are a table that is not at hand, so this is the cleaned form."""
-    return clean(c)
+    """For display, never for comparison: parts by REGISTRANTS, the cleaned form where they don't say."""
+    return bound(clean(c), _masked)
 
 
 def extract(text: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import isbn
-from .text import strip
+from .text import bound, strip
 
 # Names that stand for no author, and patterns of titles that are file names or word-processor headings.
 # An application that writes its own name as the author adds it through `unknown`.
@@ -17,7 +17,7 @@ ISSUES = ("missing-isbn", "missing-publisher", "missing-pubdate", "bad-author",
 
 
 def record_isbn(c: Column) -> Column:
-    return F.when(isbn.valid(c), isbn.clean(c)).otherwise(F.lit(""))
+    return bound(isbn.clean(c), lambda s: F.when(isbn.is_10(s) | isbn.is_13(s), s).otherwise(F.lit("")))
 
 
 def missing_pubdate(c: Column) -> Column:
@@ -33,11 +33,14 @@ def bad_author(c: Column, unknown: tuple[str, ...] = UNKNOWN_AUTHORS) -> Column:
 
 
 def junk_title(c: Column) -> Column:
-    t = strip(F.coalesce(c, F.lit("")))
-    out = t == ""
-    for p in JUNK_TITLES:
-        out = out | t.rlike(p)
-    return out
+
+    def junk(t: Column) -> Column:
+        out = t == ""
+        for p in JUNK_TITLES:
+            out = out | t.rlike(p)
+        return out
+
+    return bound(strip(F.coalesce(c, F.lit(""))), junk)
 
 
 def has_tag(tags: Column, tag: str) -> Column:
@@ -58,7 +61,7 @@ def pdf_paths(formats: Column) -> Column:
     return F.filter(formats, lambda p: F.lower(p).endswith(".pdf"))
 
 
-def issues() -> Column:
-    """The record's issues, in the order of ISSUES."""
-    flags = (record_isbn(F.col("isbn")) == "", missing_publisher(F.col("publisher")), missing_pubdate(F.col("pubdate")), bad_author(F.col("authors_str")), junk_title(F.col("title")), F.size("tags") <= 0)
-    return F.filter(F.array(*(F.when(f, F.lit(n)) for f, n in zip(flags, ISSUES, strict=True))), lambda x: x.isNotNull())
+def issues(isbn_col: Column | None = None) -> Column:
+    """The record's issues, in the order of ISSUES; isbn_col: its record_isbn(), where that is at hand."""
+    flags = ((record_isbn(F.col("isbn")) if isbn_col is None else isbn_col) == "", missing_publisher(F.col("publisher")), missing_pubdate(F.col("pubdate")), bad_author(F.col("authors_str")), junk_title(F.col("title")), F.size("tags") <= 0)
+    return F.array_compact(F.array(*(F.when(f, F.lit(n)) for f, n in zip(flags, ISSUES, strict=True))))

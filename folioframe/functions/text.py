@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,8 +31,21 @@ def _is_cjk(ch: str) -> bool:
     return "぀" <= ch <= "ヿ" or "㐀" <= ch <= "䶿" or "一" <= ch <= "鿿" or "가" <= ch <= "힯"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once a row, however often `use` names it; Catalyst writes an expression out each time."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+#: Characters whose compatibility forms hold no other marks than the general ones, and none of the scripts above.
+_COMMON = re.compile("[\u0000-\u036f\u1e00-\u1eff\u2000-\u2069]*")
+_MARKS = re.compile("[\u0300-\u034e\u0350-\u036f]+")  # all but the joiner, which is no mark
+_ATOMS = str.maketrans(ATOMIC)
+
+
 def fold_text(s: str | None) -> str:
     """Latin letters without their marks; the scripts above as they are."""
+    if _COMMON.fullmatch(s or ""):  # whole strings at a time, with the same result
+        return _MARKS.sub("", unicodedata.normalize("NFKD", s or "")).translate(_ATOMS)
 
     def one(ch: str) -> str:
         if _is_cjk(ch):
@@ -49,20 +64,8 @@ def _tiers() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), {c: f for c, f in folded.items() if len(f) > 1 and f.isascii()}
 
 
-def _ranges(letters: str) -> str:
-    """A character class's inside: runs of code points as ranges, which a regular expression tests far faster than single letters."""
-    codes, out = sorted(map(ord, letters)), []
-    for c in codes:
-        if out and out[-1][1] == c - 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in out)
-
-
 _FROM, _TO, _LONGER = _tiers()
 _SHORT = "ßæœþÆŒÞ"
-_OTHER = f"[^\\x00-\\x7F{_ranges(_FROM + _SHORT)}{CJK}]"
 
 
 def _fold_rest(c: Column) -> Column:
@@ -70,19 +73,19 @@ def _fold_rest(c: Column) -> Column:
 
 
 def fold(c: Column, *, native: bool = False) -> Column:
-    """fold_text() in two tiers: translate() for ASCII, precomposed Latin and CJK; an Arrow UDF that sees only other rows.
+    """fold_text(): ASCII is left as it is, other rows go through Arrow and Python's own tables.
 
-    native: leave out the second tier, for text known to be of the first.
+    native: by translate() alone, for text known to be ASCII, precomposed Latin and CJK, or where no UDF may be.
     """
     c = F.coalesce(c, F.lit(""))
-    out = F.translate(c, _FROM, _TO)
-    for letter, into in _LONGER.items():
-        if letter in _SHORT:
-            out = F.replace(out, F.lit(letter), F.lit(into))
     if native:
+        out = F.translate(c, _FROM, _TO)
+        for letter, into in _LONGER.items():
+            if letter in _SHORT:
+                out = F.replace(out, F.lit(letter), F.lit(into))
         return out
-    simple = ~c.rlike(_OTHER)
-    return F.coalesce(F.when(simple, out), _fold_rest(F.when(~simple, c)), F.lit(""))
+    plain = F.length(c) == F.octet_length(c)
+    return F.coalesce(F.when(plain, c), _fold_rest(F.when(~plain, c)), F.lit(""))
 
 
 def _caseless(c: Column, native: bool) -> Column:
@@ -114,15 +117,22 @@ def group_key(c: Column, *, drop_manual: bool = False, native: bool = False) ->
     return F.trim(F.regexp_replace(s, f"[^a-z0-9{CJK}]+", " "))
 
 
-def surname_key(c: Column, *, native: bool = False) -> Column:
-    """The first author's surname: 'Surname, First' or the last word that is no initial or suffix; '' without one."""
-    first = strip(F.substring_index(F.coalesce(c, F.lit("")), "&", 1))
-    first = F.when(F.contains(first, F.lit(",")), F.substring_index(first, ",", 1)).otherwise(first)
-    s = F.lower(F.replace(F.regexp_replace(fold(first, native=native), f"[{APOSTROPHES}]", ""), F.lit("ẞ"), F.lit("ss")))
+def _first_author(c: Column) -> Column:
+    """The first author's name up to a comma."""
+    return bound(strip(F.substring_index(F.coalesce(c, F.lit("")), "&", 1)), lambda x: F.when(F.contains(x, F.lit(",")), F.substring_index(x, ",", 1)).otherwise(x))
+
+
+def _surname(folded: Column) -> Column:
+    s = F.lower(F.replace(folded, F.lit("ẞ"), F.lit("ss")))
     s = F.regexp_replace(s, rf"(?U)[^a-z0-9\s{CJK}-]+", " ")
     words = F.filter(F.transform(F.split(s, r"(?U)\s+"), lambda w: F.regexp_replace(w, "^-+|-+$", "")), lambda w: w != "")
-    told = F.filter(words, lambda w: (F.length(w) > 1) & ~w.isin(*SUFFIXES))
-    return F.coalesce(F.try_element_at(told, F.lit(-1)), F.try_element_at(words, F.lit(-1)), F.lit(""))
+    last = lambda ws: F.coalesce(F.try_element_at(F.filter(ws, lambda w: (F.length(w) > 1) & ~w.isin(*SUFFIXES)), F.lit(-1)), F.try_element_at(ws, F.lit(-1)), F.lit(""))
+    return bound(words, last)
+
+
+def surname_key(c: Column, *, native: bool = False) -> Column:
+    """The first author's surname: 'Surname, First' or the last word that is no initial or suffix; '' without one."""
+    return _surname(F.regexp_replace(fold(_first_author(c), native=native), f"[{APOSTROPHES}]", ""))
 
 
 def split_authors(c: Column) -> Column:
@@ -132,8 +142,13 @@ def split_authors(c: Column) -> Column:
 
 
 def author_keys(names: Column, *, native: bool = False) -> Column:
-    """Distinct non-empty surname keys of an array of names (JVM-side tier only inside arrays, see `native`)."""
-    return F.array_distinct(F.filter(F.transform(names, lambda x: surname_key(x, native=True)), lambda x: x != ""))
+    """Distinct non-empty surname keys of an array of names.
+
+    No UDF may run inside an array, so the names are folded as one string, parted by a control character.
+    """
+    firsts = F.transform(names, lambda x: F.translate(_first_author(x), "\x1f", " "))
+    folded = F.split(F.regexp_replace(fold(F.array_join(firsts, "\x1f"), native=native), f"[{APOSTROPHES}]", ""), "\x1f")
+    return F.when(names.isNotNull(), F.array_distinct(F.filter(F.transform(folded, _surname), lambda x: x != "")))
 
 
 def short_authors(names: Column) -> Column:
