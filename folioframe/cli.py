@@ -8,6 +8,7 @@ import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .operators import audit, catalog, dedup, integrity, match
 from .sources import catalog_tables, reports, sqlite_ro
@@ -31,51 +32,72 @@ def _print(df: DataFrame, as_json: bool) -> None:
             print("\t".join("" if v is None else ", ".join(v) if isinstance(v, list) else str(v) for v in r.values()))
 
 
-def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    parser = argparse.ArgumentParser(prog="folioframe", description=__doc__)
+#: What is read of the JSON that `audit` writes.
+REPORT = "safe_existing_isbn_lookup array<struct<id: bigint, title: string, authors: string, isbn: string, issues: array<string>>>, isbn_scan array<struct<id: bigint, title: string, authors: string, isbns: array<string>>>"
+
+
+def _table(spark: SparkSession, place: str) -> DataFrame:
+    return spark.read.json(place) if place.endswith(".json") else spark.read.parquet(place)
+
+
+def _parser() -> argparse.ArgumentParser:
+    """--library and --json may stand before or after the command, so neither has a default that could undo the other's."""
+    common = argparse.ArgumentParser(add_help=False)
+    common.add_argument("--library", default=argparse.SUPPRESS, help="a SQLite file or a folder of Parquet tables")
+    common.add_argument("--json", action="store_true", default=argparse.SUPPRESS)
+    parser = argparse.ArgumentParser(prog="folioframe", description=__doc__, parents=[common])
     sub = parser.add_subparsers(dest="command", required=True)
-    for name in ("books", "resolve", "audit", "metadata-candidates"):
-        p = sub.add_parser(name)
-        p.add_argument("--json", action="store_true")
-        if name in ("books", "resolve", "audit"):
-            p.add_argument("--library", required=True, help="a SQLite file or a folder of Parquet tables")
-        if name == "resolve":
-            p.add_argument("--root", required=True)
-            p.add_argument("paths", nargs="+")
-        if name in ("audit", "metadata-candidates"):
-            p.add_argument("--out-dir", default="reports")
-        if name == "metadata-candidates":
-            p.add_argument("audit_json")
-            p.add_argument("--editions", required=True, help="a Parquet or JSON table of editions")
-            p.add_argument("--include-multi", action="store_true")
-            p.add_argument("--limit", type=int, default=0)
+    p = {name: sub.add_parser(name, parents=[common]) for name in ("books", "resolve", "audit", "metadata-candidates")}
+    p["resolve"].add_argument("--root", required=True)
+    p["resolve"].add_argument("paths", nargs="+")
+    for name in ("audit", "metadata-candidates"):
+        p[name].add_argument("--out-dir", default="reports")
+    p["audit"].add_argument("--scan-missing-isbns", action="store_true", help="look for numbers in the page texts of files whose record has none")
+    p["audit"].add_argument("--pages", help="a Parquet or JSON table of page texts: path, page, n_pages, text, error")
+    p["audit"].add_argument("--pages-each-end", type=int, default=8)
+    p["audit"].add_argument("--limit-scan", type=int, default=0, help="scan the first N files; 0: all")
+    p["audit"].add_argument("--scan-timeout", type=int, default=20, help="the seconds that whoever made the page texts gave a file")
+    p["audit"].add_argument("--scan-workers", type=int, default=4)
+    p["metadata-candidates"].add_argument("audit_json")
+    p["metadata-candidates"].add_argument("--editions", required=True, help="a Parquet or JSON table of editions")
+    p["metadata-candidates"].add_argument("--include-multi", action="store_true")
+    p["metadata-candidates"].add_argument("--limit", type=int, default=0)
+    return parser
+
+
+def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
+    parser = _parser()
     args = parser.parse_args(argv)
+    as_json = getattr(args, "json", False)
+    if args.command != "metadata-candidates" and not hasattr(args, "library"):
+        parser.error("--library is required")
+    if args.command == "audit" and args.scan_missing_isbns and not args.pages:
+        parser.error("--scan-missing-isbns needs --pages")
     spark = spark or SparkSession.builder.appName("folioframe").getOrCreate()
     try:
         if args.command == "books":
-            _print(catalog.listing(catalog.books(_open(spark, args.library))), args.json)
+            _print(catalog.listing(catalog.books(_open(spark, args.library))), as_json)
         elif args.command == "resolve":
             rows = spark.createDataFrame(list(enumerate(args.paths)), "pos int, path string")
-            _print(integrity.resolve(rows, _open(spark, args.library)["books"], args.root), args.json)
+            _print(integrity.resolve(rows, _open(spark, args.library)["books"], args.root), as_json)
         elif args.command == "audit":
             c = _open(spark, args.library)
             records = catalog.books(c)
-            done = reports.write_audit(audit.audit(records, dedup.title_groups(records, dedup.exempt_edges(c))), args.out_dir)
-            print(json.dumps(done, ensure_ascii=False, indent=None if args.json else 2))
+            scans = audit.scan_texts(audit.scan_targets(records, args.limit_scan), _table(spark, args.pages), args.pages_each_end) if args.scan_missing_isbns else None
+            report = audit.audit(records, dedup.title_groups(records, dedup.exempt_edges(c)), scans, args.scan_timeout, args.limit_scan, args.scan_workers)
+            done = reports.write_audit(report, args.out_dir)
+            print(json.dumps(done, ensure_ascii=False, indent=None if as_json else 2))
         else:
-            report = json.load(open(args.audit_json, encoding="utf-8"))
-            own = [(r["id"], r["title"], r["authors"], r["isbn"], r["issues"]) for r in report["safe_existing_isbn_lookup"]]
-            scans = [(r["id"], r["title"], r["authors"], r["isbns"]) for r in report["isbn_scan"]]
-            rows = match.candidates(spark.createDataFrame(own, "id long, title string, authors string, isbn string, issues array<string>"), spark.createDataFrame(scans, "id long, title string, authors string, isbns array<string>"), args.include_multi)
-            rows = rows.limit(args.limit) if args.limit else rows
-            editions = spark.read.json(args.editions) if args.editions.endswith(".json") else spark.read.parquet(args.editions)
-            matched = match.match(rows, editions)
-            as_json, as_text = reports.stamped(args.out_dir, "edition-candidates")
+            report = spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST").json(args.audit_json)
+            own, scans = (report.select(F.inline(x)) for x in ("safe_existing_isbn_lookup", "isbn_scan"))
+            rows = match.first_candidates(match.candidates(own, scans, args.include_multi), args.limit)
+            matched = match.match(rows, _table(spark, args.editions))
+            as_file, as_text = reports.stamped(args.out_dir, "edition-candidates")
             counts = {r["status"]: r["n"] for r in match.status_counts(matched).collect()}
             body = {"summary": {"input_candidates": sum(counts.values()), **counts}, "candidates": [r.asDict(recursive=True) for r in matched.toLocalIterator()]}
-            as_json.write_text(json.dumps(body, indent=2, ensure_ascii=False), encoding="utf-8")
+            as_file.write_text(json.dumps(body, indent=2, ensure_ascii=False), encoding="utf-8")
             as_text.write_text(reports.candidates_markdown(matched), encoding="utf-8")
-            print(json.dumps({"json": str(as_json), "markdown": str(as_text), **body["summary"]}, ensure_ascii=False))
+            print(json.dumps({"json": str(as_file), "markdown": str(as_text), **body["summary"]}, ensure_ascii=False))
     except catalog_tables.MissingCatalog as e:
         print(f"no catalogue: {e}", file=sys.stderr)
         return 2

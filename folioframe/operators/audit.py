@@ -15,9 +15,9 @@ SCANS = "id long, title string, authors string, path string, isbns array<string>
 
 def audit_records(records: DataFrame, scans: DataFrame | None = None) -> DataFrame:
     """A row per record: id, title, authors, isbn ('' if not valid), publisher, pubdate, tags, formats, format_exts, issues, scan."""
-    out = records.select(
-        "id", "title", F.col("authors_str").alias("authors"), Q.record_isbn(F.col("isbn")).alias("isbn"), F.coalesce("publisher", F.lit("")).alias("publisher"),
-        F.coalesce("pubdate", F.lit("")).alias("pubdate"), "tags", "formats", Q.suffixes(F.col("formats")).alias("format_exts"), Q.issues().alias("issues"),
+    out = records.withColumn("__isbn", Q.record_isbn(F.col("isbn"))).select(
+        "id", "title", F.col("authors_str").alias("authors"), F.col("__isbn").alias("isbn"), F.coalesce("publisher", F.lit("")).alias("publisher"),
+        F.coalesce("pubdate", F.lit("")).alias("pubdate"), "tags", "formats", Q.suffixes(F.col("formats")).alias("format_exts"), Q.issues(F.col("__isbn")).alias("issues"),
     )
     if scans is None:
         return out.withColumn("scan", F.lit(None).cast(f"struct<{', '.join(x.replace(' ', ':', 1) for x in SCANS.split(', '))}>"))
@@ -95,9 +95,12 @@ class Report:
     duplicate_groups: DataFrame
 
 
-def audit(records: DataFrame, duplicates: DataFrame, scans: DataFrame | None = None) -> Report:
+def audit(records: DataFrame, duplicates: DataFrame, scans: DataFrame | None = None, timeout: int = 20, limit: int = 0, workers: int = 4) -> Report:
+    """timeout, limit and workers are those of the scan, for its entries in the summary; without a scan they are 0."""
     spark = records.sparkSession
     done = audit_records(records, scans)
+    asked = {"scan_timeout_seconds": timeout, "scan_limit": limit, "scan_workers": workers}
+    asked = {k: F.lit(v if scans is not None else 0).cast("long") for k, v in asked.items()}
     scans = scans if scans is not None else spark.createDataFrame([], SCANS)
-    one = summary(done).crossJoin(scan_classes(scans)).crossJoin(duplicates.agg(F.count_distinct("group_id").alias("duplicate_title_groups")))  # single rows
+    one = summary(done).crossJoin(scan_classes(scans, timeout).withColumns(asked)).crossJoin(duplicates.agg(F.count_distinct("group_id").alias("duplicate_title_groups")))  # single rows
     return Report(done, one, counts(done, "issues", "issue"), counts(done, "format_exts", "ext"), fill_queue(done), extract_queue(done), scans, duplicates)

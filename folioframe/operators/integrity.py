@@ -56,3 +56,15 @@ def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
     up = paths.select("path", parts.alias("p")).select("path", F.explode(F.expr("transform(sequence(1, size(p)), i -> concat_ws('/', slice(p, 1, i)))")).alias("root"))
     found = up.join(roots.select("root").distinct(), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
     return paths.join(found, "path", "left")
+
+
+def resolve_discovered(paths: DataFrame, books: DataFrame) -> DataFrame:
+    """pos, path, root, id, title: as resolve(), but in the catalogue whose root is the path's deepest ancestor; books: root, id, title.
+
+    So any tree with a catalogue above the file counts, and nothing is outside of the library.
+    """
+    found = nearest_root(paths, books)
+    keyed = found.select("pos", "path", "root", F.when(F.size(F.split("path", "/")) > 1, folder_id(F.element_at(F.split("path", "/"), -2))).alias("__id"))
+    own = books.select(F.col("root").alias("__root"), F.col("id").alias("__of"), "id", "title")
+    out = keyed.join(own, (F.col("root") == F.col("__root")) & (F.col("__id") == F.col("__of")), "left")
+    return out.select("pos", "path", F.when(F.col("__id").isNotNull(), F.col("root")).alias("root"), "id", "title").orderBy("pos")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.similarity import round3, score_distinct
+from ..functions.similarity import round3, score
 from ..functions.text import fold_text, search_key
 
 THRESHOLD = 0.55
@@ -17,14 +17,13 @@ def query_key(spark: SparkSession, query: str) -> str:
 
 
 def scored(records: DataFrame, query: str, field: str = "both", *, native: bool = False) -> DataFrame:
-    """records (id, title, authors_str) with `raw`, the score of the chosen field; `query` is normalised already."""
+    """records (id, title, authors_str) with `raw`, the score of the chosen field; `query` is normalised already.
+
+    A map: each task scores a string it has met once, and nothing is shuffled to find equal ones.
+    """
     df = records.select("id", "title", "authors_str", search_key(F.col("title"), native=native).alias("__t"), search_key(F.col("authors_str"), native=native).alias("__a"))
-    if field in ("title", "authors"):
-        return score_distinct(df, query, "__t" if field == "title" else "__a", "raw").drop("__t", "__a")
-    df = df.withColumn("__b", F.concat_ws(" ", "__t", "__a"))
-    for c in ("__t", "__a", "__b"):
-        df = score_distinct(df, query, c, f"{c}s")
-    return df.withColumn("raw", F.greatest("__ts", "__as", "__bs")).drop("__t", "__a", "__b", "__ts", "__as", "__bs")
+    forms = {"title": [F.col("__t")], "authors": [F.col("__a")]}.get(field, [F.col("__t"), F.col("__a"), F.concat_ws(" ", "__t", "__a")])
+    return df.withColumn("raw", score(F.lit(query), *forms)).drop("__t", "__a")
 
 
 def search(records: DataFrame, query: str, field: str = "both", limit: int = 10, threshold: float = THRESHOLD, margin: float = MARGIN, *, native: bool = False) -> DataFrame:
