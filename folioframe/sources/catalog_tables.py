@@ -65,15 +65,26 @@ class Catalog:
 
 
 def from_parquet(spark: SparkSession, folder: str, root: str = "", names: tuple[str, ...] | None = None) -> Catalog:
-    """A folder with <table>.parquet for each table; tables that can't be read are left out for probe() to tell."""
+    """A folder with <table>.parquet for each table; tables that can't be read are left out for probe() to tell.
+
+    Custom columns are known from custom_columns alone: the values and links of each are read where they are there.
+    """
     from pyspark.errors import AnalysisException
 
-    out = {}
-    for name in names or (*SCHEMAS, "custom_columns"):
-        try:
-            out[name] = spark.read.parquet(f"{folder}/{name}.parquet")
-        except AnalysisException:
-            continue
+    out: dict[str, DataFrame] = {}
+
+    def read(*tables: str) -> None:
+        for name in tables:
+            try:
+                out[name] = spark.read.parquet(f"{folder}/{name}.parquet")
+            except AnalysisException:
+                continue
+
+    read(*(names or (*SCHEMAS, "custom_columns")))
     if not out:
         raise MissingCatalog(folder)
+    if names is None and "custom_columns" in out:
+        # One row for each column that somebody has defined.
+        for r in out["custom_columns"].select("id").distinct().collect():
+            read(f"custom_column_{r.id}", f"books_custom_column_{r.id}_link")
     return Catalog(out, root or folder)
