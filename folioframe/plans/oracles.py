@@ -69,7 +69,7 @@ TITLE_KEY = f"[{group_key('title')}, {surname('authors_str')}]"
 NO_EDGES = "edges AS (SELECT cast(NULL as bigint) AS a, cast(NULL as bigint) AS b WHERE false)"
 STAGED_CTE = f""",
 staged AS (SELECT id AS proposal_id, CASE WHEN id % 40 = 0 THEN concat('Other ', title) ELSE title END AS title, authors_str AS authors, CASE WHEN id % 60 = 0 THEN isbn ELSE '' END AS isbn,
-           CASE WHEN id % 100 = 0 THEN sizes[1] ELSE 0 END AS size, concat('h', id % 200) AS sha FROM rec WHERE id % 20 = 0),
+           CASE WHEN id % 100 = 0 THEN sizes[1] ELSE 0 END AS size, concat('h', id % 200) AS sha FROM rec),
 {ISBN_CTE}, byisbn AS (SELECT DISTINCT s.proposal_id, 'isbn' AS signal, r.id AS book_id, false AS suppressed FROM staged s JOIN cleaned a ON a.id = s.proposal_id * 2 AND s.isbn <> '' AND a.c <> '' JOIN cleaned b ON b.c = a.c AND b.id % 2 = 0 JOIN rec r ON r.id = b.book),
 bysize AS (SELECT s.proposal_id, CASE WHEN max(CASE WHEN s.sha = concat('h', d.book % 200) THEN 1 ELSE 0 END) = 1 THEN 'sha256' ELSE 'size' END AS signal, d.book AS book_id, false AS suppressed FROM staged s JOIN data d ON s.size > 0 AND d.uncompressed_size = s.size GROUP BY s.proposal_id, d.book),
 keyed AS (SELECT id, [{group_key("title")}, {surname("authors_str")}] AS k FROM rec WHERE id IN (SELECT book FROM data)),
@@ -83,6 +83,46 @@ def _staged(sql: str) -> str:
     return with_tables(NAMES_CTE + ", " + EDGES_CTE + STAGED_CTE + " " + sql, *REC_TABLES, *EDGE_TABLES)
 
 
+SCANNED_CTE = """,
+targets AS (SELECT r.id, list_filter(r.formats, lambda x: lower(x) LIKE '%.pdf')[1] AS path FROM rec r JOIN told t ON t.id = r.id WHERE t.isbn = '' AND list_contains(t.exts, 'pdf')),
+scanned AS (SELECT concat(b.path, '/file ', b.id, '.pdf') AS path, (CASE WHEN bool_or(l.page = 0) THEN 1 ELSE 0 END) + (CASE WHEN bool_or(l.page = 6) THEN 2 ELSE 0 END) AS bits,
+            sum(CASE l.page WHEN 0 THEN 18 WHEN 6 THEN 15 ELSE 6 END) + count(*) - 1 AS chars, CASE WHEN b.id % 16 = 0 AND bool_or(l.page = 0) THEN 'no PDF' END AS error
+            FROM books b JOIN (SELECT DISTINCT l_partkey AS k, l_linenumber - 1 AS page FROM lineitem) l ON l.k = b.id WHERE l.page < 2 OR l.page >= 5 GROUP BY b.id, b.path)"""
+
+
+def _masked_0(x: str) -> str:
+    """Hyphens of a number of group 0 after 978, from the eight digits after the group."""
+    size = f"CASE WHEN {x} < '20' THEN 2 WHEN {x} < '70' THEN 3 WHEN {x} < '85' THEN 4 WHEN {x} < '90' THEN 5 WHEN {x} < '95' THEN 6 ELSE 7 END"
+    return f"concat('978-0-', substr({x}, 1, {size}), '-', substr({x}, {size} + 1), '-', substr(c, 13, 1))"
+
+
+#: Query (normalised), forms, margin and limit of each search.
+SEARCHES = {"title": ("smal wigdet", "title", 0.15, 10), "authors": ("gartner ruiz", "authors", 0.15, 20), "both": ("strasse elan ring", "both", 0.15, 15), "margin_off": ("blue ring", "both", 1.0, 50)}
+
+
+def _search(q: str, field: str, margin: float, limit: int) -> str:
+    """Longest common subsequences bit by bit: a query's characters are the bits of a number, a candidate's are folded over it."""
+
+    def similar(query: str, m: str, c: str) -> str:
+        full = f"((1::BIGINT << {m}) - 1)"
+        places = f"list_sum(list_transform(range({m}), lambda i: CASE WHEN substr({query}, i + 1, 1) = ch THEN 1::BIGINT << i ELSE 0 END))::BIGINT"
+        row = f"list_reduce(list_transform(string_split({c}, ''), lambda ch: {places}), lambda row, x: ((row + (row & x)) | (row - (row & x))) & {full}, {full})"
+        return f"(1 - (cast({m} + length({c}) as double) - 2 * ({m} - bit_count({row}))) / ({m} + length({c})))"
+
+    words = q.split()
+    key = {f: SEARCH_KEY.format(f) for f in ("title", "authors_str")}
+    forms = {"title": [key["title"]], "authors": [key["authors_str"]], "both": [key["title"], key["authors_str"], f"concat_ws(' ', {key['title']}, {key['authors_str']})"]}[field]
+    total = " + ".join(f"coalesce(max(CASE WHEN q = '{w}' THEN s END), 0)" for w in dict.fromkeys(words))
+    return _rec(f"""SELECT score, id, title, authors_str AS authors FROM kept WHERE score >= (SELECT max(score) FROM kept) - {margin} ORDER BY score DESC, id LIMIT {limit}""", ctes=f""",
+form AS (SELECT id, unnest([{", ".join(forms)}]) AS c FROM rec),
+text AS (SELECT DISTINCT c FROM form WHERE c <> ''),
+word AS (SELECT DISTINCT w FROM text, unnest(string_split(c, ' ')) AS u(w) WHERE w <> ''),
+near AS (SELECT w, q, {similar("q", "length(q)", "w")} AS s FROM word, (SELECT unnest({words!r}) AS q)),
+by_word AS (SELECT c, ({total}) / {len(words)} AS s FROM (SELECT DISTINCT c, w FROM text, unnest(string_split(c, ' ')) AS u(w)) t JOIN near n ON n.w = t.w GROUP BY c),
+raw AS (SELECT t.c, CASE WHEN contains(t.c, '{q}') THEN 1.0 WHEN 2.0 * least(length(t.c), {len(q)}) / (length(t.c) + {len(q)}) <= coalesce(s, 0) THEN s ELSE greatest(coalesce(s, 0), {similar(f"'{q}'", str(len(q)), "t.c")}) END AS s FROM text t LEFT JOIN by_word b ON b.c = t.c),
+kept AS (SELECT * FROM (SELECT r.id, r.title, r.authors_str, round(max(coalesce(w.s, 0)), 3) AS score, max(coalesce(w.s, 0)) AS raw FROM rec r JOIN form f ON f.id = r.id LEFT JOIN raw w ON w.c = f.c GROUP BY r.id, r.title, r.authors_str) WHERE raw >= 0.55)""")
+
+
 def oracles() -> dict[str, str]:
     out = {
         "catalog_books": _rec("SELECT id, title, authors, authors_str, tags, array_to_string(formats, '|') AS formats, array_to_string(sizes, '|') AS sizes, isbn, path, uuid, pubdate, publisher, CASE WHEN length(uuid) > 0 THEN concat('folio://', uuid) END AS link FROM rec"),
@@ -96,7 +136,7 @@ def oracles() -> dict[str, str]:
         "text_group_key": with_tables(f"x AS (SELECT 1) SELECT id, {group_key('title')} AS group_key, {SEARCH_KEY.format('title')} AS search_key FROM books", "books"),
         "text_surname_key": with_tables(f"x AS (SELECT 1) SELECT id, {surname('name')} AS surname_key FROM authors", "authors"),
         "text_split_authors": _rec("SELECT id, len(names) AS n, array_to_string(names, '|') AS names, CASE WHEN len(names) <= 3 THEN array_to_string(names, ' & ') ELSE concat(array_to_string(names[1:3], ' & '), ' & +', len(names) - 3) END AS short FROM (SELECT id, list_filter(list_transform(regexp_split_to_array(concat(authors_str, ' and Last One'), '\\s*&\\s*|\\s+and\\s+'), lambda x: trim(x)), lambda x: x <> '') AS names FROM rec)"),
-        "text_html_entity_gate": "SELECT page_id, regexp_matches(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '&(amp|lt|gt|quot|#39|apos|nbsp);') AS refused FROM pages",
+        "text_html_entity_gate": "SELECT page_id, regexp_matches(html, '&(amp|lt|gt|quot|#39|apos|nbsp);') AS refused FROM pages",
         "isbn_clean": with_tables(f"{ISBN_CTE} SELECT id, c AS cleaned FROM cleaned", "identifiers"),
         "isbn_valid": with_tables(f"{ISBN_CTE} SELECT id, {VALID} AS valid FROM cleaned", "identifiers"),
         "isbn_to13": with_tables(f"{ISBN_CTE}, tens AS (SELECT id, CASE WHEN regexp_matches(s, '^([0-9]{{9}}[0-9X]|[0-9]{{13}})$') THEN s ELSE '' END AS c FROM (SELECT id, substr(c, 4, 10) AS s FROM cleaned)) SELECT id, CASE WHEN length(c) = 10 AND ({_S10}) % 11 = 0 THEN concat('978', substr(c, 1, 9), (10 - (38 + " + " + ".join(f"{3 if i % 2 else 1} * try_cast(substr(c, {i}, 1) as int)" for i in range(1, 10)) + ") % 10) % 10) ELSE c END AS isbn13 FROM tens", "identifiers"),
@@ -117,17 +157,40 @@ def oracles() -> dict[str, str]:
         "audit_extract_queue": _rec("SELECT id FROM told WHERE list_contains(issues, 'missing-isbn') AND list_contains(exts, 'pdf')", ctes=FLAGS_CTE),
         "audit_scan_classes": with_tables("x AS (SELECT 1)" + FOUND_CTE + " SELECT count(*) AS scanned_pdf_candidates, count_if(len(isbns) > 0) AS scanned_pdfs_with_isbn, count_if(len(isbns) = 1) AS single_isbn_scan_hits, count_if(len(isbns) > 1) AS multi_isbn_scan_hits, count_if(len(isbns) = 0 AND error IS NULL) AS no_isbn_no_error, count_if(error IS NOT NULL) AS scan_errors, count_if(error = 'timeout after 20s') AS scan_timeouts FROM found", "sources"),
         "match_candidates": _rec(", own AS (SELECT id, title, isbn, 'existing-isbn' AS source, array_to_string(issues, '|') AS issues FROM told WHERE isbn <> '' AND list_has_any(issues, ['missing-publisher', 'missing-pubdate'])) SELECT * FROM own UNION ALL SELECT id, title, isbns[1], CASE WHEN len(isbns) = 1 THEN 'pdf-scan-single-isbn' ELSE 'pdf-scan-multi-isbn-first' END, 'missing-isbn' FROM found WHERE len(isbns) >= 1 AND id NOT IN (SELECT id FROM own)", "sources", ctes=FLAGS_CTE + FOUND_CTE),
-        "match_author_overlap": _rec("SELECT r.id, count(DISTINCT k) FILTER (WHERE k IN ('smith1', 'okeefe2', 'lang3')) AS shared FROM rec r LEFT JOIN (SELECT l.book, " + surname("a.name") + " AS k FROM books_authors_link l JOIN authors a ON a.id = l.author) s ON s.book = r.id GROUP BY r.id"),
+        "match_author_overlap": _rec("SELECT r.id, count(DISTINCT k) FILTER (WHERE k IN ('smith1', 'okeefe2', 'lang3', 'gartner-ruiz4')) AS shared FROM rec r LEFT JOIN (SELECT l.book, " + surname("a.name") + " AS k FROM books_authors_link l JOIN authors a ON a.id = l.author) s ON s.book = r.id GROUP BY r.id"),
         "fs_orphans": with_tables("d AS (SELECT path, try_cast(regexp_extract(path, '\\((\\d+)\\)$', 1) as bigint) AS id FROM manifest WHERE is_dir AND len(string_split(path, '/')) = 2) SELECT d.id, d.path, coalesce((SELECT string_agg(split_part(m.path, '/', 3), '|' ORDER BY m.path) FROM manifest m WHERE NOT m.is_dir AND starts_with(m.path, concat(d.path, '/'))), '') AS files FROM d WHERE d.id IS NOT NULL AND d.id NOT IN (SELECT id FROM books)", "manifest", "books"),
         "fs_missing_formats": _rec("SELECT id, title, f AS missing FROM rec, unnest(formats) AS u(f) WHERE f NOT IN (SELECT path FROM manifest WHERE NOT is_dir)", "manifest"),
         "fs_case_drift": with_tables("x AS (SELECT 1) SELECT id, title, split_part(path, '/', 2) AS expected, upper(regexp_extract(split_part(path, '/', 2), '^(.*) \\(', 1)) || ' (' || id || ')' AS on_disk, split_part(path, '/', 1) AS parent FROM books WHERE id % 37 = 0", "books"),
         "fs_resolve_paths": with_tables("p AS (SELECT concat('/lib/', path) AS path, try_cast(regexp_extract(split_part(path, '/', 2), '\\((\\d+)\\)$', 1) as bigint) AS k FROM manifest WHERE NOT is_dir) SELECT p.path, b.id, b.title FROM p LEFT JOIN books b ON b.id = p.k", "manifest", "books"),
-        "outline_sanitize": "WITH RECURSIVE e AS (SELECT conv_id AS doc_id, turn AS pos, CASE WHEN role = 'user' THEN 3 ELSE length(text) % 4 END AS l, trim(regexp_replace(substr(text, 1, 40), '\\s+', ' ', 'g')) AS title, turn AS page FROM conversations WHERE turn % 7 <> 5), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM e WHERE title <> ''), w AS (SELECT doc_id, pos, cast(1 as bigint) AS level, title, page, r FROM k WHERE r = 1 UNION ALL SELECT k.doc_id, k.pos, cast(least(greatest(1, k.l), w.level + 1) as bigint), k.title, k.page, k.r FROM w JOIN k ON k.doc_id = w.doc_id AND k.r = w.r + 1) SELECT doc_id, pos, level, title, cast(greatest(1, page) as bigint) AS page FROM w",
+        "outline_sanitize": "WITH RECURSIVE e AS (SELECT conv_id AS doc_id, turn AS pos, CASE WHEN role = 'user' THEN 3 ELSE length(text) % 4 END AS l, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS title, turn AS page FROM conversations WHERE turn % 7 <> 5), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS r FROM e WHERE title <> ''), w AS (SELECT doc_id, pos, cast(1 as bigint) AS level, title, page, r FROM k WHERE r = 1 UNION ALL SELECT k.doc_id, k.pos, cast(least(greatest(1, k.l), w.level + 1) as bigint), k.title, k.page, k.r FROM w JOIN k ON k.doc_id = w.doc_id AND k.r = w.r + 1) SELECT doc_id, pos, level, title, cast(greatest(1, page) as bigint) AS page FROM w",
         "ident_merge": with_tables("x AS (SELECT 1) SELECT book, string_agg(concat(type, ':', val), ',' ORDER BY type) AS identifiers FROM (SELECT book, type, val FROM identifiers WHERE type NOT IN ('doi', 'isbn') UNION ALL SELECT DISTINCT book, 'doi', '10/x' FROM identifiers UNION ALL SELECT DISTINCT book, 'isbn', concat('1:', book) FROM identifiers) GROUP BY book", "identifiers"),
         "ident_remove": with_tables("x AS (SELECT 1) SELECT book, coalesce(string_agg(concat(type, ':', val), ',' ORDER BY type) FILTER (WHERE type <> 'doi'), '') AS identifiers FROM identifiers GROUP BY book", "identifiers"),
         "writeplan_gate": _staged("SELECT proposal_id, reason IS NULL AS allowed, reason, verdict FROM (SELECT s.proposal_id, verdict, CASE WHEN s.proposal_id % 140 = 0 THEN 'file-missing' WHEN s.proposal_id % 80 = 0 THEN 'no-extension' WHEN (s.proposal_id % 180 <> 0 AND title = '') OR s.proposal_id % 220 = 0 OR authors = '' THEN 'title-and-authors-required' WHEN s.proposal_id % 180 = 0 THEN 'html-entity' WHEN s.proposal_id % 260 = 0 THEN 'gui-open' WHEN verdict = 'block' AND s.proposal_id % 120 <> 0 THEN 'duplicate' END AS reason FROM staged s JOIN verdicts v ON v.proposal_id = s.proposal_id)"),
         "writeplan_formats": with_tables("p AS (SELECT p_partkey AS k, p_partkey * 2 AS b, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE 'PDF' END AS ext FROM part) SELECT k AS proposal_id, reason IS NULL AS allowed, reason, ext FROM (SELECT k, ext, CASE WHEN k % 8 = 0 THEN 'file-missing' WHEN ext = '' THEN 'no-extension' WHEN b NOT IN (SELECT id FROM books) THEN 'unknown-book' WHEN k % 3 <> 0 AND EXISTS (SELECT 1 FROM data d WHERE d.book = p.b AND upper(d.format) = ext) THEN 'format-present' WHEN k % 7 = 0 THEN 'gui-open' END AS reason FROM p)", "books", "data"),
         "sim_lcs_tokens": "WITH RECURSIVE q AS (SELECT 'smoll wdget' AS q), n AS (SELECT DISTINCT p_name FROM part), w AS (SELECT p_name, 0 AS i, list_transform(range(0, 12), lambda x: 0) AS row FROM n UNION ALL SELECT p_name, i + 1, (SELECT list(v ORDER BY j) FROM (SELECT j, max(c) OVER (ORDER BY j) AS v FROM (SELECT j, CASE WHEN j > 0 AND substr((SELECT q FROM q), j::int, 1) = substr(p_name, i + 1, 1) THEN row[j] + 1 ELSE row[j + 1] END AS c FROM range(0, 12) AS t(j)))) FROM w WHERE i < length(p_name)) SELECT p_name, cast(row[12] as bigint) AS lcs FROM w WHERE i = length(p_name)",
     }
+    out |= {f"search_{name}": _search(*how) for name, how in SEARCHES.items()}
+    out |= {
+        "audit_scan_texts": _rec("SELECT t.id, t.path, coalesce(CASE WHEN s.error IS NULL THEN CASE WHEN bits = 3 THEN '0262035618|0471830062' WHEN bits = 1 THEN '0471830062' WHEN bits = 2 THEN '0262035618' ELSE '' END END, '') AS isbns, coalesce(s.chars, 0) AS text_chars, CASE WHEN s.path IS NULL THEN 'no text' ELSE s.error END AS error FROM targets t LEFT JOIN scanned s ON s.path = t.path", ctes=FLAGS_CTE + SCANNED_CTE),
+        "audit_scan_join": _rec("SELECT r.id, r.isbn, array_to_string(f.isbns, '|') AS found, f.error FROM told r LEFT JOIN found f ON f.id = r.id", "sources", ctes=FLAGS_CTE + FOUND_CTE),
+        "audit_scan_errors": with_tables("x AS (SELECT 1) SELECT id, error FROM sources WHERE error IS NOT NULL ORDER BY id", "sources"),
+        "writeplan_metadata": with_tables("""x AS (SELECT 1), p AS (SELECT id, CASE id % 5 WHEN 0 THEN 'authors' WHEN 1 THEN 'title' WHEN 2 THEN 'identifiers' ELSE 'publisher' END AS k FROM books),
+            kept AS (SELECT book, type, val FROM identifiers WHERE type NOT IN ('zotero', 'doi') UNION ALL SELECT id, unnest(['zotero', 'doi']), unnest([concat('', id), '']) FROM p),
+            merged AS (SELECT book, string_agg(concat(type, ':', val), ',' ORDER BY type) AS identifiers FROM kept GROUP BY book),
+            same AS (SELECT book, string_agg(concat(type, ':', val), ',' ORDER BY type) AS identifiers FROM identifiers GROUP BY book)
+            SELECT id AS proposal_id, reason IS NULL AS allowed, reason, CASE WHEN k = 'identifiers' THEN coalesce(CASE WHEN id % 7 = 0 THEN s.identifiers ELSE m.identifiers END, '') END AS identifiers
+            FROM (SELECT *, CASE WHEN id % 11 = 0 THEN 'gui-open' WHEN id % 7 = 0 THEN 'html-entity' WHEN k = 'authors' THEN 'authors-never' WHEN k = 'title' AND id % 2 <> 0 THEN 'title-needs-force' END AS reason FROM p) q
+            LEFT JOIN merged m ON m.book = q.id LEFT JOIN same s ON s.book = q.id""", "books", "identifiers"),
+        "writeplan_removal": with_tables("""x AS (SELECT 1), p AS (SELECT id, CASE WHEN id % 3 = 0 THEN 'doi' ELSE 'isbn' END AS t FROM books)
+            SELECT id AS proposal_id, reason IS NULL AS allowed, reason, coalesce((SELECT string_agg(concat(type, ':', val), ',' ORDER BY type) FROM identifiers i WHERE i.book = q.id AND type <> t), '') AS identifiers
+            FROM (SELECT *, CASE WHEN id % 11 = 0 THEN 'gui-open' WHEN NOT EXISTS (SELECT 1 FROM identifiers i WHERE i.book = p.id AND type = t) THEN 'identifier-absent' END AS reason FROM p) q""", "books", "identifiers"),
+        "writeplan_reported_ids": with_tables("x AS (SELECT 1) SELECT id, concat(id, '|', id + 7) AS ids FROM books", "books"),
+        "fs_nearest_root": with_tables("x AS (SELECT 1) SELECT concat('/lib/', path) AS path, concat('/lib/', split_part(path, '/', 1)) AS root FROM manifest WHERE NOT is_dir", "manifest"),
+        "fs_resolve_discovered": with_tables("x AS (SELECT 1), p AS (SELECT concat('/lib/', path) AS path, CASE WHEN starts_with(path, 'Shelf 7/') THEN '/lib/Shelf 7' ELSE '/lib' END AS root, try_cast(regexp_extract(split_part(path, '/', 2), '\\((\\d+)\\)$', 1) as bigint) AS k FROM manifest WHERE NOT is_dir) SELECT p.path, p.root, b.id, b.title FROM p LEFT JOIN books b ON b.id = p.k", "manifest", "books"),
+        "isbn_hyphenated": with_tables(f"{ISBN_CTE} SELECT id, CASE WHEN length(c) = 13 AND starts_with(c, '9780') THEN {_masked_0('substr(c, 5, 8)')} ELSE c END AS hyphenated, c AS cleaned FROM cleaned", "identifiers"),
+        "catalog_exempt_parquet": out["dup_exempt_edges"],
+        "stream_keyed": with_tables(f"x AS (SELECT 1) SELECT id, {SEARCH_KEY.format('title')} AS search_key, {group_key('title')} AS group_key, 'lang' AS surname_key, concat('978111974482', id % 10) AS isbn_clean, id % 10 = 5 AS isbn_valid FROM books", "books"),
+    }
+    out["fs_orphans_excluded"] = out["fs_orphans"].replace("WHERE d.id IS NOT NULL", "WHERE NOT regexp_matches(d.path, '^Shelf 2?7/') AND d.id IS NOT NULL")
     out["match_candidates"] = out["match_candidates"].replace(" , own", ", own")
     return out

@@ -12,6 +12,9 @@ from ..functions import quality as Q
 from ..functions import text as X
 from ..functions.similarity import lcs
 from ..operators import audit, catalog, dedup, integrity, match, outline, search, writeplan
+from ..sources import shared
+from ..sources.catalog_tables import from_parquet
+from ..streaming import keyed
 from .adapter import catalog as open_catalog
 from .adapter import table
 
@@ -93,7 +96,7 @@ def text_split_authors(spark, sf):
 
 @query
 def text_html_entity_gate(spark, sf):
-    return table(spark, sf, "pages").select("page_id", X.has_entity(F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)).alias("refused"))
+    return table(spark, sf, "pages").select("page_id", X.has_entity(F.col("html")).alias("refused"))
 
 
 @query
@@ -149,11 +152,11 @@ def dup_text_hash(spark, sf):
 
 
 def _staged(spark, sf):
-    """Proposals: each 20th book again, some with its number, size, contents or title changed."""
+    """Proposals: every book again, some with its number, size, contents or title changed."""
     c = open_catalog(spark, sf)
     b = catalog.books(c)
     k = F.col("id")
-    staged = b.where(k % 20 == 0).select(
+    staged = b.select(
         k.alias("proposal_id"), F.when(k % 40 == 0, F.concat(F.lit("Other "), F.col("title"))).otherwise(F.col("title")).alias("title"), F.col("authors_str").alias("authors"),
         F.when(k % 60 == 0, F.col("isbn")).otherwise(F.lit("")).alias("isbn"), F.when(k % 100 == 0, F.try_element_at("sizes", F.lit(1))).otherwise(F.lit(0)).alias("size"), F.concat(F.lit("h"), (k % 200).cast("string")).alias("sha256"),
     )
@@ -216,6 +219,33 @@ def audit_scan_classes(spark, sf):
     return audit.scan_classes(_scans(spark, sf))
 
 
+def _pages(spark, sf):
+    """Page texts of the PDFs: up to seven pages, some of which have a number."""
+    p = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("k"), (F.col("l_linenumber") - 1).alias("page")).distinct()
+    b = open_catalog(spark, sf)["books"].select(F.col("id").alias("k"), F.concat(F.col("path"), F.lit("/file "), F.col("id").cast("string"), F.lit(".pdf")).alias("path"))
+    text = F.when(F.col("page") == 0, F.lit("ISBN 0-471-83006-2")).when(F.col("page") == 3, F.lit("ISBN 9781119744825")).when(F.col("page") == 6, F.lit("isbn 0262035618")).otherwise(F.concat(F.lit("page "), F.col("page").cast("string")))
+    return p.join(b, "k").select("path", "page", F.lit(7).alias("n_pages"), text.alias("text"), F.when((F.col("k") % 16 == 0) & (F.col("page") == 0), F.lit("Trace\nno PDF\n")).alias("error"))
+
+
+def _text_scans(spark, sf):
+    return audit.scan_texts(audit.scan_targets(_books(spark, sf)), _pages(spark, sf), each_end=2)
+
+
+@query
+def audit_scan_texts(spark, sf):
+    return _text_scans(spark, sf).select("id", "path", _joined("isbns"), "text_chars", "error")
+
+
+@query
+def audit_scan_join(spark, sf):
+    return audit.audit_records(_books(spark, sf), _scans(spark, sf)).select("id", "isbn", F.array_join("scan.isbns", "|").alias("found"), F.col("scan.error").alias("error"))
+
+
+@query
+def audit_scan_errors(spark, sf):
+    return _scans(spark, sf).where("error is not null").select("id", "error").orderBy("id")
+
+
 @query
 def match_candidates(spark, sf):
     rows = match.candidates(audit.fill_queue(_audited(spark, sf)), _scans(spark, sf), include_multi=True)
@@ -225,16 +255,18 @@ def match_candidates(spark, sf):
 @query
 def match_author_overlap(spark, sf):
     a = _books(spark, sf).select("id", X.split_authors(F.col("authors_str")).alias("names"))
-    return a.select("id", match.overlap(F.col("names"), F.array(F.lit("Ann Smith1"), F.lit("A. O’Keefe2"), F.lit("Lang3, S."), F.lit("..."))).cast("long").alias("shared"))
+    given = F.array(*map(F.lit, ("Ann Smith1", "A. O’Keefe2", "Lang3, S.", "...", "Jose\u0301 Ga\u0308rtner-Ruiz4")))
+    return a.select("id", match.overlap(F.col("names"), given).cast("long").alias("shared"))
 
 
 @query
 def match_status(spark, sf):
-    rows = match.candidates(audit.fill_queue(_audited(spark, sf)), _scans(spark, sf))
-    b = _books(spark, sf).where("id % 3 <> 0").dropDuplicates(["isbn"])
-    none = F.lit(None).cast("string")
-    editions = b.select(I.clean(F.col("isbn")).alias("isbn"), F.when(F.col("id") % 4 != 0, F.col("title")).alias("title"), F.when(F.col("id") % 2 == 0, F.lit("A Course")).alias("subtitle"), none.alias("full_title"), F.col("authors"), none.alias("error")).dropDuplicates(["isbn"])
-    return match.match(rows, editions).select("id", "status", "title_similarity", F.col("author_overlap").cast("long"))
+    books = _books(spark, sf)
+    rows = match.candidates(audit.fill_queue(audit.audit_records(books)), _scans(spark, sf))
+    none, k = F.lit(None).cast("string"), F.col("id")
+    editions = books.select("id", I.clean(F.col("isbn")).alias("isbn"), F.when(k % 4 != 0, F.col("title")).alias("title"), F.when(k % 2 == 0, F.lit("A Course")).alias("subtitle"), none.alias("full_title"), "authors", F.when(k % 50 == 3, F.lit("not found")).alias("error"))
+    editions = dedup.first_per(editions.where("isbn <> ''"), ["isbn"], "id").drop("id")
+    return match.judge(rows, editions).select("id", "status", "title_similarity", F.col("author_overlap").cast("long"))
 
 
 @query
@@ -296,7 +328,7 @@ def fs_resolve_paths(spark, sf):
 def outline_sanitize(spark, sf):
     t = table(spark, sf, "conversations")
     level = F.when(F.col("role") == "user", F.lit(3)).otherwise(F.length("text") % 4)
-    return outline.sanitize(t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), level.alias("level"), F.when(F.col("turn") % 7 != 5, F.substring("text", 1, 40)).alias("title"), F.col("turn").alias("page")))
+    return outline.sanitize(t.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), level.alias("level"), F.when(F.col("turn") % 7 != 5, F.col("text")).alias("title"), F.col("turn").alias("page")))
 
 
 @query
@@ -327,3 +359,73 @@ def writeplan_formats(spark, sf):
     c = open_catalog(spark, sf)
     p = table(spark, sf, "part").select(F.col("p_partkey").alias("proposal_id"), F.when(F.col("p_partkey") % 9 == 0, F.lit("x")).otherwise(F.lit("/in/x.PDF")).alias("path"), (F.col("p_partkey") % 8 != 0).alias("file_exists"), (F.col("p_partkey") * 2).alias("book_id"), (F.col("p_partkey") % 7 == 0).alias("gui_open"), (F.col("p_partkey") % 3 == 0).alias("force"))
     return writeplan.plan_format(p, c["books"], c["data"])
+
+
+@query
+def writeplan_metadata(spark, sf):
+    c = open_catalog(spark, sf)
+    k = F.col("id")
+    key = F.when(k % 5 == 0, F.lit("Authors")).when(k % 5 == 1, F.lit("title")).when(k % 5 == 2, F.lit("identifiers")).otherwise(F.lit("publisher"))
+    value = F.when(k % 7 == 0, F.lit("x &lt; y")).when(k % 5 == 2, F.concat(F.lit("doi: , zotero:"), k.cast("string"))).otherwise(F.lit("plain"))
+    proposals = c["books"].select(k.alias("proposal_id"), k.alias("book_id"), F.create_map(key, value).alias("fields"), (k % 11 == 0).alias("gui_open"), (k % 2 == 0).alias("force"))
+    return writeplan.plan_metadata(proposals, catalog.identifiers(c))
+
+
+@query
+def writeplan_removal(spark, sf):
+    c = open_catalog(spark, sf)
+    k = F.col("id")
+    proposals = c["books"].select(k.alias("proposal_id"), k.alias("book_id"), F.when(k % 3 == 0, F.lit("doi")).otherwise(F.lit("isbn")).alias("id_type"), (k % 11 == 0).alias("gui_open"))
+    return writeplan.plan_removal(proposals, catalog.identifiers(c))
+
+
+@query
+def writeplan_reported_ids(spark, sf):
+    said = F.concat(F.lit("old ids: 1, then Added book ids: "), F.col("id").cast("string"), F.lit(", "), (F.col("id") + 7).cast("string"), F.lit(" x9"))
+    return open_catalog(spark, sf)["books"].select("id", F.array_join(F.transform(X.reported_ids(said), lambda x: x.cast("string")), "|").alias("ids"))
+
+
+@query
+def fs_nearest_root(spark, sf):
+    m = open_catalog(spark, sf)["manifest"]
+    roots = m.where(F.col("is_dir") & ~F.contains("path", F.lit("/"))).select(F.concat(F.lit("/lib/"), F.col("path")).alias("root")).unionByName(spark.createDataFrame([("/lib",), ("/other",)], "root string"))
+    return integrity.nearest_root(m.where(~F.col("is_dir")).select(F.concat(F.lit("/lib/"), F.col("path")).alias("path")), roots)
+
+
+@query
+def fs_resolve_discovered(spark, sf):
+    c = open_catalog(spark, sf)
+    roots = F.explode(F.array(F.lit("/lib"), F.lit("/lib/Shelf 7"))).alias("root")
+    paths = c["manifest"].where(~F.col("is_dir")).select(F.crc32("path").alias("pos"), F.concat(F.lit("/lib/"), F.col("path")).alias("path"))
+    return integrity.resolve_discovered(paths, c["books"].select("id", "title", roots)).drop("pos")
+
+
+@query
+def fs_orphans_excluded(spark, sf):
+    c = open_catalog(spark, sf)
+    return integrity.orphan_dirs(c["manifest"], c["books"], excluded=("Shelf 7", "Shelf 27")).select("id", "path", _joined("files"))
+
+
+@query
+def isbn_hyphenated(spark, sf):
+    return open_catalog(spark, sf)["identifiers"].select("id", I.hyphenate(F.col("val")).alias("hyphenated"), I.clean(I.hyphenate(F.col("val"))).alias("cleaned"))
+
+
+@query
+def catalog_exempt_parquet(spark, sf):
+    """The exemptions of a catalogue that is kept as Parquet files."""
+    c, folder = open_catalog(spark, sf), shared.folder(spark, "catalogue")
+    for name in ("books", "custom_columns", "custom_column_2", "books_custom_column_2_link"):
+        c[name].write.parquet(f"{folder}/{name}.parquet")
+    return dedup.exempt_edges(from_parquet(spark, folder))
+
+
+@query
+def stream_keyed(spark, sf):
+    """The row-level keys on a stream of records that reads what is there and ends."""
+    folder = shared.folder(spark, "stream")
+    open_catalog(spark, sf)["books"].select("id", "title", F.concat(F.lit("Lang, S. & "), F.col("sort")).alias("authors"), F.concat(F.lit("ISBN 978111974482"), F.col("id") % 10).alias("isbn")).write.parquet(f"{folder}/in")
+    arriving = spark.readStream.schema("id bigint, title string, authors string, isbn string").parquet(f"{folder}/in")
+    done = keyed(arriving).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    done.awaitTermination()
+    return spark.read.schema("id bigint, search_key string, group_key string, surname_key string, isbn_clean string, isbn_valid boolean").parquet(f"{folder}/out")

@@ -191,3 +191,79 @@ def test_every_book_has_all_its_suppliers_as_authors(spark, sf_dir):
     pairs = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_suppkey").distinct().collect()
     links = adapter.catalog(spark, sf_dir)["books_authors_link"].select("book", "author").collect()
     assert sorted(map(tuple, links)) == sorted(map(tuple, pairs))
+
+
+def test_parquet_catalogue_has_its_custom_columns(spark, tmp_path, sf_dir):
+    from folioframe.plans import adapter
+    from folioframe.sources import catalog_tables
+
+    made = adapter.catalog(spark, sf_dir)
+    for name in (*catalog_tables.SCHEMAS, "custom_columns", "custom_column_2", "books_custom_column_2_link"):
+        made[name].write.parquet(f"{tmp_path}/{name}.parquet")
+    read = catalog_tables.from_parquet(spark, str(tmp_path))
+    edges = sorted(map(tuple, dedup.exempt_edges(read).collect()))
+    assert edges and edges == sorted(map(tuple, dedup.exempt_edges(made).collect()))
+    groups = lambda c: sorted((r.group_id, r.id) for r in dedup.title_groups(catalog.books(c), dedup.exempt_edges(c)).collect())
+    assert groups(read) == groups(made)
+
+
+def test_files_are_listed_and_hashed_in_tasks(spark, tmp_path):
+    import hashlib
+    import os
+
+    (tmp_path / "a/.hidden/deep er").mkdir(parents=True)
+    (tmp_path / "b [x]").mkdir()
+    (tmp_path / "a/f{1}.pdf").write_bytes(b"x" * (manifest.CHUNK * 2 + 5))
+    (tmp_path / "a/.hidden/deep er/empty").write_bytes(b"")
+    os.symlink(tmp_path, tmp_path / "b [x]/loop")
+    rows = {r.path: (r.is_dir, r.length) for r in manifest.scan(spark, str(tmp_path)).collect()}
+    assert rows.keys() == {"a", "b [x]", "a/.hidden", "a/f{1}.pdf", "a/.hidden/deep er", "a/.hidden/deep er/empty", "b [x]/loop"}
+    assert rows["a"] == (True, 0) and rows["a/f{1}.pdf"] == (False, manifest.CHUNK * 2 + 5) and not rows["b [x]/loop"][0]
+    assert {r.path for r in manifest.scan(spark, str(tmp_path), depth=1).collect()} == {"a", "b [x]"}
+    with pytest.raises(FileNotFoundError):
+        manifest.scan(spark, str(tmp_path / "none"))
+    paths = [str(tmp_path / "a/f{1}.pdf"), str(tmp_path / "a/.hidden/deep er/empty")]
+    assert sorted((r.length, r.sha256) for r in manifest.hashes(spark, paths).collect()) == sorted((os.path.getsize(p), hashlib.sha256(open(p, "rb").read()).hexdigest()) for p in paths)
+    asked = spark.createDataFrame([(paths[0],), (str(tmp_path / "no"),), (None,)], "path string")
+    got = {r.path: (r.sha256 is None, r.error is None) for r in manifest.file_hashes(asked).collect()}
+    assert got == {paths[0]: (False, True), str(tmp_path / "no"): (True, False), None: (True, False)}
+    with pytest.raises(Exception, match="No such file"):
+        manifest.hashes(spark, [str(tmp_path / "no")]).collect()
+
+
+def test_first_candidates_are_in_order(spark):
+    rows = spark.createDataFrame([(9, "existing-isbn"), (1, "pdf-scan-single-isbn"), (4, "existing-isbn"), (2, "pdf-scan-single-isbn")], "id long, source string")
+    assert [r.id for r in match.first_candidates(rows, 3).collect()] == [4, 9, 1] and match.first_candidates(rows).count() == 4
+
+
+def test_judged_as_difflib_says(spark):
+    """Status, similarity and overlap of every candidate, against plain Python."""
+    import difflib
+    import random
+
+    from folioframe.functions.text import fold_text
+
+    rng = random.Random(9)
+    word = lambda: rng.choice(["Élan", "ring", "blue", "Theory", "of", "sets", "Straße", "II"])
+    say = lambda n: " ".join(word() for _ in range(n))
+    people = ["Ann Lee", "Lang, Serge", "José Gärtner", "Jose\u0301 Ga\u0308rtner", "O’Keefe", "..."]
+    rows = [(i, say(rng.randint(0, 5)), " & ".join(rng.sample(people, rng.randint(0, 2))), str(i % 35)) for i in range(120)]
+    editions = [(str(i), rng.choice([None, "", say(3)]), rng.choice([None, "", say(2)]), rng.choice([None, say(4)]), rng.sample(people, rng.randint(0, 3)), rng.choice([None, None, None, "", "gone"])) for i in range(30)]
+    key = lambda t: " ".join("".join(c if c.isalnum() and c.isascii() else " " for c in fold_text(t).lower()).split())
+    surname = {"Ann Lee": "lee", "Lang, Serge": "lang", "José Gärtner": "gartner", "Jose\u0301 Ga\u0308rtner": "gartner", "O’Keefe": "okeefe", "...": ""}
+    expect = {}
+    for i, title, authors, number in rows:
+        e = next((x for x in editions if x[0] == number), None)
+        if e is None or e[5]:
+            expect[i] = ("lookup-error", None, None)
+            continue
+        forms = [key(f) for f in (e[1], e[3], f"{e[1] or ''}: {e[2]}" if e[2] else None) if f]
+        best = max([difflib.SequenceMatcher(None, key(title), f).ratio() for f in forms], default=0.0)
+        names = [n for n in authors.split(" & ") if n]
+        shared = len({surname[n] for n in names} & {surname[n] for n in e[4]} - {""})
+        expect[i] = ("strong-candidate" if best >= match.THRESHOLD and (shared or not names) else "review-title-author", round(best, 3), shared)
+    given = spark.createDataFrame(rows, "id long, title string, authors string, isbn string")
+    got = match.match(given, spark.createDataFrame(editions, match.EDITION)).collect()
+    assert {r.id: (r.status, r.title_similarity, r.author_overlap) for r in got} == expect
+    assert [(r.status, r.id) for r in got] == sorted((r.status, r.id) for r in got)
+    assert len({s for s, *_ in expect.values()}) == 3

@@ -51,3 +51,21 @@ def test_caps_tell_what_is_left_out(spark):
     assert reports._listed(rows, 4, lambda r: str(r.id), True)[-1] == "- ... 6 more"
     assert len(reports._listed(rows, 4, lambda r: str(r.id), False)) == 4
     assert reports._listed(rows.where("false"), 4, str, True, "- None.") == ["- None."]
+
+
+def test_scan_options_and_places_of_common_ones(spark, library, tmp_path, capsys):
+    pages = [("A/Zebra (1)/z.pdf", 0, 1, "ISBN 0471830062", None)]
+    spark.createDataFrame(pages, "path string, page int, n_pages int, text string, error string").write.parquet(str(tmp_path / "pages"))
+    assert cli.main(["--json", "--library", library, "books"], spark) == 0
+    assert len(json.loads(capsys.readouterr().out)) == 3
+    how = ["audit", "--library", library, "--out-dir", str(tmp_path), "--json"]
+    assert cli.main(how, spark) == 0
+    done = json.loads(capsys.readouterr().out)
+    assert (done["scan_timeout_seconds"], done["scan_limit"], done["scan_workers"], done["scanned_pdf_candidates"]) == (0, 0, 0, 0)
+    assert cli.main([*how, "--scan-missing-isbns", "--pages", str(tmp_path / "pages"), "--pages-each-end", "1", "--limit-scan", "5", "--scan-timeout", "7"], spark) == 0
+    done = json.loads(capsys.readouterr().out)
+    assert (done["scan_timeout_seconds"], done["scan_limit"], done["scan_workers"], done["scanned_pdf_candidates"]) == (7, 5, 4, 0)
+    with pytest.raises(SystemExit):
+        cli.main([*how, "--scan-missing-isbns"], spark)
+    with pytest.raises(SystemExit):
+        cli.main(["books"], spark)

@@ -97,3 +97,54 @@ def test_search(spark):
 def test_rounding(spark):
     values = [2 * m / n for n in range(1, 90) for m in range(n // 2 + 1)]
     assert _apply(spark, values, similarity.round3, "double") == [round(v, 3) for v in values]
+
+
+def _fold_by_letters(s):
+    """fold_text() letter by letter."""
+
+    def one(ch):
+        return ch if text._is_cjk(ch) else "".join(text.ATOMIC.get(c, c) for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
+
+    return "".join(map(one, unicodedata.normalize("NFC", s)))
+
+
+def test_whole_strings_fold_as_their_letters():
+    rng = random.Random(3)
+    pool = [chr(c) for c in (*range(32, 0x370), *range(0x1E00, 0x1F00), *range(0x2000, 0x206A))]
+    for _ in range(3000):
+        s = "".join(rng.choices(pool, k=rng.randint(0, 14)))
+        assert text.fold_text(s) == _fold_by_letters(s), ascii(s)
+
+
+def test_author_keys_of_decomposed_names(spark):
+    names = [["Jose\u0301 Ga\u0308rtner", "José Gärtner"], ["Łukasz Ｇaŕtner", "Lang, Serge & Co", "O’Keefe, Ann"], [], ["李", "...", "a\x1fb Noe\u0308l"], None]
+    got = _apply(spark, names, text.author_keys, "array<string>")
+    assert got == [["gartner"], ["gartner", "lang", "okeefe"], [], ["李", "noel"], None]
+    flat = [n for ns in names if ns for n in ns if "\x1f" not in n]
+    one_by_one = _apply(spark, flat, text.surname_key)
+    assert _apply(spark, [[n] for n in flat], text.author_keys, "array<string>") == [[k] if k else [] for k in one_by_one]
+
+
+def test_hyphenate(spark):
+    pairs = [("9783030561260", "978-3-030-56126-0"), ("0471830062", "0-471-83006-2"), ("185573348X", "1-85573-348-X"), ("9780262035613", "978-0-262-03561-3"), ("9789999999991", "9789999999991"), ("9791119744820", "9791119744820"), ("junk", ""), (None, "")]
+    got = _apply(spark, [a for a, _ in pairs], isbn.hyphenate)
+    assert got == [b for _, b in pairs]
+    assert _apply(spark, got, isbn.clean) == _apply(spark, [a for a, _ in pairs], isbn.clean)
+
+
+def test_bounds_change_no_score():
+    import difflib
+
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choices("abcde", k=rng.randint(1, 5))) for _ in range(n))
+    for _ in range(400):
+        q, c = say(rng.randint(1, 3)), say(rng.randint(0, 12))
+        plain = 0.0 if not c else 1.0 if q in c else max(similarity.indel(q, c), sum(max(similarity.indel(x, y) for y in c.split()) for x in q.split()) / len(q.split()))
+        assert similarity.score_text(q, c) == plain
+        rights = [say(rng.randint(0, 5)) for _ in range(rng.randint(0, 4))]
+        assert similarity.best_ratio(q, rights) == max([difflib.SequenceMatcher(None, q, r).ratio() for r in rights], default=0.0)
+
+
+def test_bound_evaluates_once(spark):
+    plan = spark.range(1).select(text.bound(F.rand(3), lambda x: x - x).alias("d"))
+    assert plan.first().d == 0.0
