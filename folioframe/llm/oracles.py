@@ -10,7 +10,7 @@ DECONTAMINATION = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
 i AS (SELECT item_id, ws, least(13, len(ws)) AS size FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
 item_windows AS (SELECT DISTINCT item_id, size, array_to_string(ws[p + 1 : p + size], ' ') AS g FROM i, unnest(range(len(ws) - size + 1)) AS u(p)),
-doc_windows AS (SELECT doc_id, p, size, array_to_string(ws[p + 1 : p + size], ' ') AS g FROM d, (SELECT DISTINCT size FROM i), unnest(range(greatest(0, len(ws) - size + 1))) AS u(p)),
+doc_windows AS (SELECT doc_id, size, unnest(ps) AS p, unnest(list_transform(ps, lambda p: array_to_string(ws[p + 1 : p + size], ' '))) AS g FROM (SELECT doc_id, ws, size, range(greatest(0, len(ws) - size + 1)) AS ps FROM d, (SELECT DISTINCT size FROM i))),
 hits AS (SELECT doc_id, p, w.size AS size, item_id FROM doc_windows w JOIN item_windows x ON w.g = x.g AND w.size = x.size),
 words AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM hits, unnest(range(p, p + size)) AS u(q) GROUP BY doc_id),
 items AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS item FROM hits) GROUP BY doc_id)
@@ -48,13 +48,13 @@ SELECT *, background_loss - target_loss AS score FROM loss
 #: Every string of 400 bytes, as hexadecimal digits, by its digest; every run of 51 words that two documents have.
 REPEATS = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS MATERIALIZED (SELECT doc_id, p, md5_number(substr(x, 2 * p + 1, 800)) AS m FROM d, unnest(range(greatest(0, length(x) // 2 - 399))) AS u(p)),
+s AS MATERIALIZED (SELECT doc_id, unnest(ps) AS p, unnest(list_transform(ps, lambda p: md5_number(substr(x, 2 * p + 1, 800)))) AS m FROM (SELECT doc_id, x, range(greatest(0, length(x) // 2 - 399)) AS ps FROM d)),
 starts AS (SELECT doc_id, p FROM s JOIN (SELECT m FROM s GROUP BY m HAVING count(*) > 1) USING (m)),
 marked AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 400 THEN 0 ELSE 1 END AS opens FROM starts),
 spans AS (SELECT doc_id, min(p) AS a, max(p) + 400 AS z FROM (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p) AS g FROM marked) GROUP BY doc_id, g),
 kept AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS front, max(z) AS last
          FROM (SELECT doc_id, x, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans JOIN d USING (doc_id)) GROUP BY doc_id),
-runs AS MATERIALIZED (SELECT doc_id, p, md5_number(array_to_string(ws[p + 1 : p + 51], ' ')) AS m FROM d, unnest(range(greatest(0, len(ws) - 50))) AS u(p)),
+runs AS MATERIALIZED (SELECT doc_id, unnest(ps) AS p, unnest(list_transform(ps, lambda p: md5_number(array_to_string(ws[p + 1 : p + 51], ' ')))) AS m FROM (SELECT doc_id, ws, range(greatest(0, len(ws) - 50)) AS ps FROM d)),
 common AS (SELECT doc_id, p FROM runs JOIN (SELECT m FROM runs GROUP BY m HAVING min(doc_id) <> max(doc_id)) USING (m)),
 passages AS (SELECT doc_id, count(DISTINCT q) AS n_repeated_words FROM common, unnest(range(p, p + 51)) AS u(q) GROUP BY doc_id)
 SELECT doc_id, cast(length(x) // 2 AS bigint) AS n_bytes, cast(coalesce(n_removed, 0) AS bigint) AS n_removed, coalesce(n_spans, 0) AS n_spans,
