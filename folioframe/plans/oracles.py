@@ -191,6 +191,7 @@ def oracles() -> dict[str, str]:
         "catalog_exempt_parquet": out["dup_exempt_edges"],
         "stream_keyed": with_tables(f"x AS (SELECT 1) SELECT id, {SEARCH_KEY.format('title')} AS search_key, {group_key('title')} AS group_key, 'lang' AS surname_key, concat('978111974482', id % 10) AS isbn_clean, id % 10 = 5 AS isbn_valid FROM books", "books"),
     }
+    out["audit_report_summary"] = f"SELECT * FROM ({out['audit_summary']}), ({out['audit_scan_classes']}), (SELECT count(DISTINCT group_id) AS duplicate_title_groups FROM ({out['dup_title_groups']})), (SELECT cast(20 AS bigint) AS scan_timeout_seconds, cast(0 AS bigint) AS scan_limit, cast(4 AS bigint) AS scan_workers)"
     out["fs_orphans_excluded"] = out["fs_orphans"].replace("WHERE d.id IS NOT NULL", "WHERE NOT regexp_matches(d.path, '^Shelf 2?7/') AND d.id IS NOT NULL")
     out["match_candidates"] = out["match_candidates"].replace(" , own", ", own")
     return out

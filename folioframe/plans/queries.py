@@ -198,6 +198,14 @@ def audit_summary(spark, sf):
     return audit.summary(_audited(spark, sf))
 
 
+@query
+def audit_report_summary(spark, sf):
+    """The whole summary: records, scans and duplicate groups."""
+    c = open_catalog(spark, sf)
+    records = catalog.books(c)
+    return audit.audit(records, dedup.title_groups(records, dedup.exempt_edges(c), **NATIVE), _scans(spark, sf)).summary
+
+
 @query
 def audit_fill_queue(spark, sf):
     return audit.fill_queue(_audited(spark, sf)).select("id", "isbn")
