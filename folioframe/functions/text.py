@@ -37,14 +37,14 @@ def bound(value: Column, use: Callable[[Column], Column]) -> Column:
 
 
 #: Characters whose compatibility forms hold no other marks than the general ones, and none of the scripts above.
-_COMMON = re.compile("[\u0000-\u036f\u1e00-\u1eff\u2000-\u2069]*")
+_COMMON = re.compile("[\u0000-\u036f\u1e00-\u1eff\u2000-\u2069]*\\Z")
 _MARKS = re.compile("[\u0300-\u034e\u0350-\u036f]+")  # all but the joiner, which is no mark
 _ATOMS = str.maketrans(ATOMIC)
 
 
 def fold_text(s: str | None) -> str:
     """Latin letters without their marks; the scripts above as they are."""
-    if _COMMON.fullmatch(s or ""):  # whole strings at a time, with the same result
+    if _COMMON.match(s or ""):  # whole strings at a time, with the same result
         return _MARKS.sub("", unicodedata.normalize("NFKD", s or "")).translate(_ATOMS)
 
     def one(ch: str) -> str:
