@@ -9,6 +9,8 @@ from ..functions.text import folder_id
 
 # Suffixes of book files, and folders that are no part of the catalogue.
 SUFFIXES = ("pdf", "epub", "mobi", "azw3", "djvu", "cbz", "cbr", "txt")
+#: At most so many roots are sent to every task; more are joined by a shuffle.
+SENT = 1 << 16
 
 
 def orphan_dirs(manifest: DataFrame, books: DataFrame, excluded: tuple[str, ...] = (), suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
@@ -51,11 +53,16 @@ def resolve(paths: DataFrame, books: DataFrame, root: str) -> DataFrame:
 
 
 def nearest_root(paths: DataFrame, roots: DataFrame) -> DataFrame:
-    """path, root: the deepest of the given roots (column root) that is an ancestor of the path."""
+    """path, root: the deepest of the given roots (column root) that is an ancestor of the path.
+
+    Few roots go to the paths; paths are never broadcast, whatever size is guessed for them.
+    """
+    known = roots.select("root").distinct()
+    few = known.limit(SENT + 1).count() <= SENT
     parts = F.split("path", "/")
     up = paths.select("path", parts.alias("p")).select("path", F.explode(F.expr("transform(sequence(1, size(p)), i -> concat_ws('/', slice(p, 1, i)))")).alias("root"))
-    found = up.join(roots.select("root").distinct(), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
-    return paths.join(found, "path", "left")
+    found = up.join(known.hint("broadcast" if few else "merge"), "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    return paths.join(found.hint("merge"), "path", "left")
 
 
 def resolve_discovered(paths: DataFrame, books: DataFrame) -> DataFrame:

@@ -267,3 +267,15 @@ def test_judged_as_difflib_says(spark):
     assert {r.id: (r.status, r.title_similarity, r.author_overlap) for r in got} == expect
     assert [(r.status, r.id) for r in got] == sorted((r.status, r.id) for r in got)
     assert len({s for s, *_ in expect.values()}) == 3
+
+
+def test_paths_are_never_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    paths = spark.range(300).select(F.concat(F.lit("/lib/S"), F.col("id") % 3, F.lit("/f"), "id").alias("path"))
+    roots = spark.range(100_000).select(F.concat(F.lit("/lib"), F.when(F.col("id") % 2 == 0, F.lit("")).otherwise("/S1")).alias("root"))
+    for sent in (integrity.SENT, 1):  # two roots: the second is one too many
+        monkeypatch.setattr(integrity, "SENT", sent)
+        got = integrity.nearest_root(paths, roots)
+        assert "BuildLeft" not in got._jdf.queryExecution().toString()
+        assert {r.path: r.root for r in got.collect()} == {f"/lib/S{i % 3}/f{i}": "/lib/S1" if i % 3 == 1 else "/lib" for i in range(300)}
