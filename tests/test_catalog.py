@@ -279,3 +279,22 @@ def test_paths_are_never_broadcast(spark, monkeypatch):
         got = integrity.nearest_root(paths, roots)
         assert "BuildLeft" not in got._jdf.queryExecution().toString()
         assert {r.path: r.root for r in got.collect()} == {f"/lib/S{i % 3}/f{i}": "/lib/S1" if i % 3 == 1 else "/lib" for i in range(300)}
+
+
+@pytest.mark.parametrize("name", ["custom_column_2", "books_custom_column_2_link"])
+def test_near_books_are_joined_by_near_keys(spark, tmp_path, sf_dir, name):
+    """The exemption tables hold what their SQL says, and no join of theirs pairs all the books of a brand."""
+    import duckdb
+
+    from folioframe.plans import adapter
+
+    rows = [(k, "ring" if k % 3 else "wheel", f"Brand#{k % 2}") for k in (-230, -150, -101, -100, -99, -1, 0, 1, 2, 64, 99, 100, 101, 130, 198, 199, 200, 201, 1000, 1099, 1100, 5000)]
+    spark.createDataFrame([*rows, (None, "x", "Brand#1")], "p_partkey long, p_name string, p_brand string").selectExpr("*", "'T' AS p_type", "1 AS p_size", "1.0 AS p_retailprice").write.parquet(f"{tmp_path}/part.parquet")
+    for t in ("supplier", "lineitem"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
+    made = adapter.catalog(spark, str(tmp_path))[name]
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, made.collect())) == sorted(db.execute(adapter.TABLES[name]).fetchall())
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert all("p_name" in join or "hundred" in join for join in plan.splitlines() if "Join" in join)
