@@ -27,16 +27,26 @@ def tags(c: Catalog) -> DataFrame:
     return _names(c["books_tags_link"], c["tags"], "tag", ",", "tags")
 
 
-def books(c: Catalog, link_prefix: str = "") -> DataFrame:
-    """id, title, authors, tags, formats (paths), sizes, isbn, path, uuid, timestamp, pubdate, last_modified, publisher, authors_str, link."""
+#: The columns of a record that each linked side makes.
+SIDES = {"authors": ("authors", "authors_str"), "tags": ("tags",), "isbns": ("isbn",), "publishers": ("publisher",), "files": ("formats", "sizes")}
+
+
+def books(c: Catalog, link_prefix: str = "", only: tuple[str, ...] | None = None) -> DataFrame:
+    """id, title, authors, tags, formats (paths), sizes, isbn, path, uuid, timestamp, pubdate, last_modified, publisher, authors_str, link.
+
+    only: these columns alone; the sides that make none of them are not joined (an outer join stays in a plan even if nothing of it is read).
+    """
     own = c["books"].select("id", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("path", F.lit("")).alias("path"), "uuid", "timestamp", "pubdate", "last_modified")
     isbns = c["identifiers"].where(ascii_lower(F.col("type")) == "isbn").groupBy("book").agg(F.min_by("val", "id").alias("isbn"))
     publishers = c["books_publishers_link"].join(c["publishers"].select(F.col("id").alias("publisher"), F.col("name")), "publisher").groupBy("book").agg(F.min_by("name", "id").alias("publisher"))
     files = c["data"].select("book", "id", F.concat(F.col("name"), F.lit("."), F.lower("format")).alias("file"), F.coalesce("uncompressed_size", F.lit(0)).cast("long").alias("size"))
     files = files.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("id", "file", "size"))).alias("files"))
     out = own
-    for side in (authors(c), tags(c), isbns, publishers, files):
-        out = out.join(side.withColumnRenamed("book", "id"), "id", "left")
+    for name, side in {"authors": authors(c), "tags": tags(c), "isbns": isbns, "publishers": publishers, "files": files}.items():
+        if only is None or set(only) & set(SIDES[name]):
+            out = out.join(side.withColumnRenamed("book", "id"), "id", "left")
+        else:
+            out = out.withColumn({"isbns": "isbn", "publishers": "publisher"}.get(name, name), F.lit(None).cast(side.schema[1].dataType))
     empty = F.array().cast("array<string>")
     out = out.select(
         "id",
@@ -53,7 +63,8 @@ def books(c: Catalog, link_prefix: str = "") -> DataFrame:
         "last_modified",
         "publisher",
     )
-    return out.withColumn("authors_str", F.array_join("authors", " & ")).withColumn("link", deep_link(F.col("uuid"), link_prefix))
+    out = out.withColumn("authors_str", F.array_join("authors", " & ")).withColumn("link", deep_link(F.col("uuid"), link_prefix))
+    return out if only is None else out.select(*only)
 
 
 def book(c: Catalog, id: int) -> DataFrame:

@@ -52,7 +52,7 @@ def _told(df: DataFrame, gates: list[tuple[Column, str]], *columns) -> DataFrame
 
 def plan_add(proposals: DataFrame, verdicts: DataFrame) -> DataFrame:
     """proposals: proposal_id, path, file_exists, title, authors, tags, gui_open, force; verdicts: proposal_id, verdict."""
-    df = proposals.join(verdicts, "proposal_id", "left")
+    df = proposals.join(verdicts.hint("merge"), "proposal_id", "left")
     gates = [
         (~F.col("file_exists"), "file-missing"),
         (_suffix("path") == "", "no-extension"),

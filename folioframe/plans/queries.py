@@ -20,6 +20,7 @@ from .adapter import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+TITLED = ("id", "title", "authors_str")
 NATIVE = {"native": True}  # the adapter's text is ASCII and precomposed Latin
 
 
@@ -127,7 +128,7 @@ def dup_exempt_edges(spark, sf):
 @query
 def dup_title_groups(spark, sf):
     c = open_catalog(spark, sf)
-    return dedup.title_groups(catalog.books(c), dedup.exempt_edges(c), **NATIVE).select("group_id", "id")
+    return dedup.title_groups(catalog.books(c, only=TITLED), dedup.exempt_edges(c), **NATIVE).select("group_id", "id")
 
 
 @query
@@ -138,7 +139,7 @@ def dup_title_groups_raw(spark, sf):
 @query
 def dup_size_groups(spark, sf):
     c = open_catalog(spark, sf)
-    return dedup.size_groups(catalog.books(c), dedup.exempt_edges(c))
+    return dedup.size_groups(catalog.books(c, only=("id", "sizes")), dedup.exempt_edges(c))
 
 
 @query
@@ -152,26 +153,26 @@ def dup_text_hash(spark, sf):
 
 
 def _staged(spark, sf):
-    """Proposals: every book again, some with its number, size, contents or title changed."""
+    """Proposals: every book again, some with its number, size, contents or title changed; and what they are compared with."""
     c = open_catalog(spark, sf)
-    b = catalog.books(c)
+    b = shared.written(catalog.books(c, only=("id", "title", "authors_str", "isbn", "sizes")), "records")
     k = F.col("id")
     staged = b.select(
         k.alias("proposal_id"), F.when(k % 40 == 0, F.concat(F.lit("Other "), F.col("title"))).otherwise(F.col("title")).alias("title"), F.col("authors_str").alias("authors"),
         F.when(k % 60 == 0, F.col("isbn")).otherwise(F.lit("")).alias("isbn"), F.when(k % 100 == 0, F.try_element_at("sizes", F.lit(1))).otherwise(F.lit(0)).alias("size"), F.concat(F.lit("h"), (k % 200).cast("string")).alias("sha256"),
     )
-    files = c["data"].select("book", F.col("uncompressed_size").alias("size"), F.concat(F.lit("h"), (F.col("book") % 200).cast("string")).alias("sha256"))
-    return staged, dedup.signals(staged, b, files, dedup.exempt_edges(c), **NATIVE)
+    files = shared.written(c["data"].select("book", F.col("uncompressed_size").alias("size"), F.concat(F.lit("h"), (F.col("book") % 200).cast("string")).alias("sha256")), "files")
+    return staged, b, files, dedup.exempt_edges(c)
 
 
 @query
 def dup_signals_batch(spark, sf):
-    return _staged(spark, sf)[1].select("proposal_id", "signal", "book_id", "suppressed")
+    return dedup.signals(*_staged(spark, sf), **NATIVE).select("proposal_id", "signal", "book_id", "suppressed")
 
 
 @query
 def dup_verdict_batch(spark, sf):
-    return dedup.verdicts(*_staged(spark, sf))
+    return dedup.weigh(*_staged(spark, sf), **NATIVE)
 
 
 def _audited(spark, sf):
@@ -203,7 +204,7 @@ def audit_report_summary(spark, sf):
     """The whole summary: records, scans and duplicate groups."""
     c = open_catalog(spark, sf)
     records = catalog.books(c)
-    return audit.audit(records, dedup.title_groups(records, dedup.exempt_edges(c), **NATIVE), _scans(spark, sf)).summary
+    return audit.audit(records, dedup.title_groups(catalog.books(c, only=TITLED), dedup.exempt_edges(c), **NATIVE), _scans(spark, sf)).summary
 
 
 @query
@@ -353,13 +354,13 @@ def ident_remove(spark, sf):
 
 @query
 def writeplan_gate(spark, sf):
-    staged, found = _staged(spark, sf)
+    staged, *against = _staged(spark, sf)
     k = F.col("proposal_id")
     proposals = staged.select(
         "proposal_id", F.when(k % 80 == 0, F.lit("/in/none")).otherwise(F.lit("/in/a.pdf")).alias("path"), (k % 140 != 0).alias("file_exists"), F.when(k % 180 == 0, F.lit("A &amp; B")).otherwise(F.col("title")).alias("title"),
         F.when(k % 220 == 0, F.lit("")).otherwise(F.col("authors")).alias("authors"), F.lit("").alias("tags"), (k % 260 == 0).alias("gui_open"), (k % 120 == 0).alias("force"),
     )
-    return writeplan.plan_add(proposals, dedup.verdicts(staged, found))
+    return writeplan.plan_add(proposals, dedup.weigh(staged, *against, **NATIVE))
 
 
 @query

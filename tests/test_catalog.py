@@ -298,3 +298,64 @@ def test_near_books_are_joined_by_near_keys(spark, tmp_path, sf_dir, name):
     assert sorted(map(tuple, made.collect())) == sorted(db.execute(adapter.TABLES[name]).fetchall())
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert all("p_name" in join or "hundred" in join for join in plan.splitlines() if "Join" in join)
+
+
+def _batch(spark, seed=4):
+    """Staged rows with large groups in common with the records, and edges among these."""
+    import random
+
+    rng = random.Random(seed)
+    books = [(i, rng.choice(["Algebra", "Sets", "()", "The Ring"]), rng.choice(["Lang, S.", "A Bee", ""]), rng.choice([None, "9781119744825", "0471830062"])) for i in range(90)]
+    files = [(rng.randrange(100), rng.choice([0, 5, 5, 7, None]), rng.choice(["x", "y", None])) for _ in range(150)]
+    staged = [(i, rng.choice(["Algebra", "Ring", "()", "New"]), rng.choice(["S. Lang", "Bee", None]), rng.choice(["", None, "978-1-119-74482-5"]), rng.choice([0, 5, 7, 9, None]), rng.choice(["x", "z", None])) for i in range(120)]
+    pairs = {tuple(sorted(rng.sample(range(90), 2))) for _ in range(400)}
+    return (
+        spark.createDataFrame(staged, "proposal_id long, title string, authors string, isbn string, size long, sha256 string"),
+        spark.createDataFrame(books, "id long, title string, authors_str string, isbn string"),
+        spark.createDataFrame(files, "book long, size long, sha256 string"),
+        spark.createDataFrame(sorted(pairs), dedup.EDGES),
+    )
+
+
+def test_weighed_as_the_signals_say(spark):
+    for seed in (4, 5):
+        given = _batch(spark, seed)
+        expect = sorted(map(tuple, dedup.verdicts(given[0], dedup.signals(*given)).collect()))
+        assert sorted(map(tuple, dedup.weigh(*given).collect())) == expect and len({v for _, v, _ in expect}) == 3
+
+
+@pytest.mark.parametrize("part", [1024, 3])
+def test_signals_leave_the_joins_as_they_are(spark, monkeypatch, part):
+    """Every signal, against plain Python; above the joins that make the pairs nothing is summed or shuffled."""
+    from folioframe.functions.text import fold_text
+
+    monkeypatch.setattr(dedup, "SLICE", part, raising=False)
+    given = _batch(spark)
+    staged, books, files, edges = (g.collect() for g in given)
+    key = lambda t, a: (fold_text(t).lower().replace("the ", "").replace("()", ""), (a or "").split(",")[0].split(" ")[-1].lower())
+    number = lambda n: (n or "").replace("-", "")
+    have, near = {f.book for f in files}, {(e.a, e.b) for e in edges} | {(e.b, e.a) for e in edges}
+    expect = set()
+    for p in staged:
+        same = [b.id for b in books if b.id in have and key(p.title, p.authors)[0] and key(p.title, p.authors) == key(b.title, (b.authors_str or "").replace("Lang, S.", "Lang"))]
+        expect |= {(p.proposal_id, "title+author", b, any((b, o) in near for o in same)) for b in same}
+        expect |= {(p.proposal_id, "isbn", b.id, False) for b in books if number(p.isbn) and number(p.isbn) == number(b.isbn)}
+        for b in {f.book for f in files if p.size and f.size == p.size}:
+            expect.add((p.proposal_id, "sha256" if any(f.book == b and f.size == p.size and f.sha256 and f.sha256 == p.sha256 for f in files) else "size", b, False))
+    found = dedup.signals(*given)
+    got = [(r.proposal_id, r.signal, r.book_id, r.suppressed) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == expect
+    union = found._jdf.queryExecution().optimizedPlan()
+    for i in range(union.children().size()):
+        plan = union.children().apply(i)
+        while plan.getClass().getSimpleName() == "Project":
+            plan = plan.children().apply(0)
+        assert plan.getClass().getSimpleName() == "Join"
+
+
+def test_records_join_only_the_sides_that_are_read(small):
+    full = catalog.books(small)
+    for only in (("id", "title", "authors_str"), ("id", "sizes"), ("id", "isbn", "tags")):
+        made = catalog.books(small, only=only)
+        assert made.columns == list(only) and sorted(map(str, made.collect())) == sorted(map(str, full.select(*only).collect()))
+    assert catalog.books(small, only=("id", "sizes"))._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
