@@ -10,6 +10,10 @@ from ..functions.text import ascii_lower, deep_link, strip
 from ..sources.catalog_tables import Catalog
 
 
+#: At most so many names are sent to every task; more are joined by a shuffle.
+SENT = 1 << 17
+
+
 def _names(link: DataFrame, names: DataFrame, key: str, sep: str, out: str) -> DataFrame:
     """A book's names in the order of their links, joined and split again (a name that holds the separator is split)."""
     rows = link.join(names.select(F.col("id").alias(key), F.col("name")), key)
@@ -20,7 +24,9 @@ def _names(link: DataFrame, names: DataFrame, key: str, sep: str, out: str) -> D
 
 
 def authors(c: Catalog) -> DataFrame:
-    return _names(c["books_authors_link"], c["authors"], "author", " & ", "authors")
+    names = c["authors"].select("id", "name")
+    few = names.limit(SENT + 1).count() <= SENT
+    return _names(c["books_authors_link"], F.broadcast(names) if few else names, "author", " & ", "authors")
 
 
 def tags(c: Catalog) -> DataFrame:

@@ -13,7 +13,7 @@ from ..functions import text as X
 from ..functions.similarity import lcs
 from ..operators import audit, catalog, dedup, integrity, match, outline, search, writeplan
 from ..sources import shared
-from ..sources.catalog_tables import from_parquet
+from ..sources.catalog_tables import Catalog, from_parquet
 from ..streaming import keyed
 from .adapter import catalog as open_catalog
 from .adapter import table
@@ -21,6 +21,7 @@ from .adapter import table
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 TITLED = ("id", "title", "authors_str")
+AUDITED = (*TITLED, "tags", "formats", "isbn", "publisher", "pubdate")
 NATIVE = {"native": True}  # the adapter's text is ASCII and precomposed Latin
 
 
@@ -155,13 +156,14 @@ def dup_text_hash(spark, sf):
 def _staged(spark, sf):
     """Proposals: every book again, some with its number, size, contents or title changed; and what they are compared with."""
     c = open_catalog(spark, sf)
+    c = Catalog(c.tables | {"data": shared.written(c["data"], "data")}, c.root)
     b = shared.written(catalog.books(c, only=("id", "title", "authors_str", "isbn", "sizes")), "records")
     k = F.col("id")
     staged = b.select(
         k.alias("proposal_id"), F.when(k % 40 == 0, F.concat(F.lit("Other "), F.col("title"))).otherwise(F.col("title")).alias("title"), F.col("authors_str").alias("authors"),
         F.when(k % 60 == 0, F.col("isbn")).otherwise(F.lit("")).alias("isbn"), F.when(k % 100 == 0, F.try_element_at("sizes", F.lit(1))).otherwise(F.lit(0)).alias("size"), F.concat(F.lit("h"), (k % 200).cast("string")).alias("sha256"),
     )
-    files = shared.written(c["data"].select("book", F.col("uncompressed_size").alias("size"), F.concat(F.lit("h"), (F.col("book") % 200).cast("string")).alias("sha256")), "files")
+    files = c["data"].select("book", F.col("uncompressed_size").alias("size"), F.concat(F.lit("h"), (F.col("book") % 200).cast("string")).alias("sha256"))
     return staged, b, files, dedup.exempt_edges(c)
 
 
@@ -203,8 +205,8 @@ def audit_summary(spark, sf):
 def audit_report_summary(spark, sf):
     """The whole summary: records, scans and duplicate groups."""
     c = open_catalog(spark, sf)
-    records = catalog.books(c)
-    return audit.audit(records, dedup.title_groups(catalog.books(c, only=TITLED), dedup.exempt_edges(c), **NATIVE), _scans(spark, sf)).summary
+    records = shared.written(catalog.books(c, only=AUDITED), "records")
+    return audit.audit(records, dedup.title_groups(records.select(*TITLED), dedup.exempt_edges(c), **NATIVE), _scans(spark, sf)).summary
 
 
 @query

@@ -60,3 +60,26 @@ def test_nothing_else_imports_llm():
     for p in root.rglob("*.py"):
         if "llm" not in p.parts:
             assert "llm" not in p.read_text(), p
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_author_links_are_dealt_out_once(spark, sf_dir, monkeypatch):
+    made = catalog.authors(adapter.catalog(spark, sf_dir))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    few = {r.book: r.authors for r in made.collect()}
+    monkeypatch.setattr(catalog, "SENT", 3)  # more names than are sent
+    assert few == {r.book: r.authors for r in catalog.authors(adapter.catalog(spark, sf_dir)).collect()}
+
+
+def test_files_are_summed_once(spark, sf_dir, monkeypatch):
+    written, plans = queries.shared.written, []
+    monkeypatch.setattr(queries.shared, "written", lambda df, name: plans.append(_plan(df)) or written(df, name))
+    queries.QUERIES["writeplan_gate"](spark, sf_dir)
+    assert sum("Aggregate" in line and "l_linestatus" in line for p in plans for line in p.splitlines()) == 1
+
+
+def test_summary_makes_records_once(spark, sf_dir):
+    assert "l_suppkey" not in _plan(queries.QUERIES["audit_report_summary"](spark, sf_dir))
