@@ -1,5 +1,7 @@
 """Every catalogue query against its SQL in DuckDB, at the smallest size; the searches against plain Python."""
 
+import time
+
 import duckdb
 import pandas as pd
 import pytest
@@ -83,3 +85,24 @@ def test_files_are_summed_once(spark, sf_dir, monkeypatch):
 
 def test_summary_makes_records_once(spark, sf_dir):
     assert "l_suppkey" not in _plan(queries.QUERIES["audit_report_summary"](spark, sf_dir))
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles
+
+    def shuffled():
+        found = files()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    before = shuffled()
+    kept = queries.shared.written(spark.range(20_000).repartition(7, "id"), "numbers")
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not left and kept.count() == 20_000
+
+
+def test_matches_by_title_are_made_before_the_signals(spark, sf_dir):
+    staged, *against = queries._staged(spark, sf_dir)
+    assert "Join" not in _plan(queries.dedup._titled(*against, True))
