@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -426,8 +428,13 @@ def isbn_hyphenated(spark, sf):
 def catalog_exempt_parquet(spark, sf):
     """The exemptions of a catalogue that is kept as Parquet files."""
     c, folder = open_catalog(spark, sf), shared.folder(spark, "catalogue")
-    for name in ("books", "custom_columns", "custom_column_2", "books_custom_column_2_link"):
+
+    @inheritable_thread_target(spark)
+    def write(name: str) -> None:
         c[name].write.parquet(f"{folder}/{name}.parquet")
+
+    with ThreadPoolExecutor() as pool:  # no table waits for another one's last tasks
+        list(pool.map(write, ("custom_column_2", "books_custom_column_2_link", "books", "custom_columns")))
     return dedup.exempt_edges(from_parquet(spark, folder))
 
 
